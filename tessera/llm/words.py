@@ -23,6 +23,11 @@ ALPHANUMERIC = _separators([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_OUTLINE = np.arange(256, dtype=np.uint8)
+_OUTLINE[65:91] = 65
+_OUTLINE[97:123] = 97
+_OUTLINE[128:] = 97
+_OUTLINE[48:58] = 57
 _BYTE = np.random.default_rng(20_240_601).integers(0, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -50,6 +55,15 @@ def _power_table(base: int, size: int) -> np.ndarray:
     return _powers(base, 1 << max(16, (size - 1).bit_length()))[:size]
 
 
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from one prefix sum over the whole block."""
+    size = len(raw)
+    prefix = np.zeros(size + 1, dtype=U64)
+    np.cumsum(_BYTE[raw] * _power_table(_BASE, size), out=prefix[1:])
+    own = (prefix[ends] - prefix[starts]) * _power_table(_INVERSE, size)[starts]
+    return mix(own ^ ((ends - starts).astype(U64) << U64(48)))
+
+
 class Words:
     """The words of a block of texts: where they are, whose they are, and a 64-bit hash of each."""
 
@@ -77,13 +91,18 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            size = len(self.bytes)
-            prefix = np.zeros(size + 1, dtype=U64)
-            np.cumsum(_BYTE[self.bytes] * _power_table(_BASE, size), out=prefix[1:])
-            own = (prefix[self.ends] - prefix[self.starts]) * _power_table(_INVERSE, size)[self.starts]
-            self._hash = mix(own ^ ((self.ends - self.starts).astype(U64) << U64(48)))
+            self._hash = span_hash(self.bytes, self.starts, self.ends)
         return self._hash
 
+    @property
+    def shape(self) -> np.ndarray:
+        """A hash of each word's outline: capitals, small letters and digits as one sign each, runs as one."""
+        outline = _OUTLINE[self.bytes]
+        keep = np.ones(len(outline), dtype=bool)
+        keep[1:] = outline[1:] != outline[:-1]
+        at = np.concatenate(([0], np.cumsum(keep)))
+        return span_hash(outline[keep], at[self.starts], at[self.ends])
+
     def rolling(self, n: int, seed: int = 1) -> np.ndarray:
         """Hash of the n words from each place; where :meth:`valid` is false it crosses a text's end."""
         h, size = self.hash, len(self)
