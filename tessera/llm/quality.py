@@ -163,6 +163,19 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return text_columns(docs).mapInArrow(run, _SCORED)
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more; all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(scores(texts, shared.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     return score(docs, train(docs, labels)).select(
