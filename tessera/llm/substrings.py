@@ -29,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.shared import arrow_schema, buckets, chunks, save, text_columns
-from tessera.llm.words import NOT_SPACE, U64, Words
+from tessera.llm.words import NOT_SPACE, U64, Words, mix
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
@@ -44,6 +43,7 @@ _REPLY, _REPLY_ARROW = arrow_schema("chunk long, base long, kind int, payload bi
 _FLAGS, _FLAGS_ARROW = arrow_schema("doc_id long, flags binary")
 _FULL, _FULL_ARROW = arrow_schema("bucket long, ids longs, counts longs, high binary, low binary, places binary, repeats binary")
 _START, _START_ARROW = arrow_schema("doc_id long, starts binary")
+_BLOCK_ROWS, _BLOCK_ARROW = arrow_schema("block long, ids longs, counts longs, starts binary")
 _RESULT, _RESULT_ARROW = arrow_schema("doc_id long, n_words long, n_removed long, kept_sha256 string")
 #: Kinds of rows in the first exchange.
 ENTRIES, PLACES, DOCUMENTS = 0, 1, 2
@@ -216,9 +216,10 @@ def _extend(n: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket: the windows whose words start in a smaller document too."""
-    for _, rows in _grouped(batches, "bucket"):
+def _repeated(n: int):
+    """The windows whose words start in a smaller document too: one row for each block of documents."""
+
+    def later(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         high = np.frombuffer(b"".join(r["high"] for r in rows), dtype=U64)
         low = np.frombuffer(b"".join(r["low"] for r in rows), dtype=np.uint32)
         place = np.frombuffer(b"".join(r["places"] for r in rows), dtype=np.uint32).astype(np.int64)
@@ -227,36 +228,69 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high, low, place, doc = high[order], low[order], place[order], doc[order]
         fresh = np.ones(len(high), dtype=bool)
         fresh[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        later = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        found = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(doc) else np.zeros(0, dtype=bool)
         settled = np.concatenate([np.frombuffer(r["repeats"], dtype=np.int64).reshape(2, -1) for r in rows], axis=1)
-        doc, place = np.concatenate([doc[later], settled[0]]), np.concatenate([place[later], settled[1]])
-        if len(doc):
-            order = np.lexsort((place, doc))
-            doc, place = doc[order], place[order]
-            yield _rows(_START_ARROW, [(d, place[s].astype(np.uint32).tobytes()) for d, s in _slices(doc)])
+        return np.concatenate([doc[found], settled[0]]), np.concatenate([place[found], settled[1]])
+
+    def rows_of(waiting: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc, place = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        if not len(doc):
+            return
+        block = (mix(doc) % U64(n)).astype(np.int64)
+        order = np.lexsort((place, doc, block))
+        doc, place, block = doc[order], place[order], block[order]
+        out = []
+        for b, s in _slices(block):
+            first, _ = _groups(doc[s])
+            counts = np.diff(np.append(first, len(doc[s])))
+            out.append((b, doc[s][first].tolist(), counts.tolist(), place[s].astype(np.uint32).tobytes()))
+        yield _rows(_BLOCK_ARROW, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for _, rows in _grouped(batches, "bucket"):
+            waiting.append(later(rows))
+            size += len(waiting[-1][0])
+            if size > 2_000_000:
+                yield from rows_of(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from rows_of(waiting)
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All repeated windows of each document of a block."""
+    for _, rows in _grouped(batches, "block"):
+        doc = np.repeat(np.array([i for r in rows for i in r["ids"]], dtype=np.int64), np.array([c for r in rows for c in r["counts"]], dtype=np.int64))
+        place = np.frombuffer(b"".join(r["starts"] for r in rows), dtype=np.uint32)
+        order = np.argsort(doc, kind="stable")
+        doc, place = doc[order], place[order]
+        yield _rows(_START_ARROW, [(d, place[s].tobytes()) for d, s in _slices(doc)])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id and starts (binary, unsigned 32-bit word indexes, in parts): the windows that repeat a smaller document's."""
+    """doc_id and starts (binary, unsigned 32-bit word indexes): the windows that repeat a smaller document's."""
     n = buckets(docs)
     texts = text_columns(docs)
     dealt = texts.mapInArrow(_probe(4 * n), _ENTRY).repartition(n, "bucket").sortWithinPartitions("bucket")
     replies = dealt.mapInArrow(_answer, _REPLY).repartition(n, "chunk").sortWithinPartitions("chunk")
     flags = save(replies.mapInArrow(_to_documents, _FLAGS), "anchor-hits")
     full = texts.join(flags, "doc_id").mapInArrow(_extend(4 * n), _FULL).repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = full.mapInArrow(_repeated, _START)
-    return save(found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "anchor-repeats")
+    blocks = full.mapInArrow(_repeated(n), _BLOCK_ROWS).repartition(n, "block").sortWithinPartitions("block")
+    return save(blocks.mapInArrow(_by_document, _START), "anchor-repeats")
 
 
-def _cover(size: int, starts: list[bytes]) -> np.ndarray:
-    places = np.frombuffer(b"".join(starts), dtype=np.uint32).astype(np.int64)
+def _cover(size: int, starts: bytes) -> np.ndarray:
+    places = np.frombuffer(starts, dtype=np.uint32).astype(np.int64)
     edge = np.zeros(size + 1, dtype=np.int64)
     np.add.at(edge, places, 1)
     np.add.at(edge, np.minimum(places + WINDOW, size), -1)
     return np.cumsum(edge[:size]) > 0
 
 
-def remaining_words(text: bytes, starts: list[bytes] | None) -> tuple[int, list[bytes]]:
+def remaining_words(text: bytes, starts: bytes | None) -> tuple[int, list[bytes]]:
     """The number of words and those that stay."""
     words = text.split()
     if not starts or not words:
