@@ -52,6 +52,7 @@ _GRID = np.linspace(0, 1, 101)
 _SKETCH, _SKETCH_ARROW = arrow_schema("doc_id long, n long, key1 long, key2 long, registers binary")
 _BAND, _BAND_ARROW = arrow_schema("bucket long, band int, id long, n long")
 _SETS, _SETS_ARROW = arrow_schema("id long, n long, elements binary")
+_TILE, _TILE_ARROW = arrow_schema("bucket long, tile_a int, tile_b int, side int, band int, id long, root long")
 _LINK, _LINK_ARROW = arrow_schema("a long, b long")
 
 
@@ -187,13 +188,45 @@ def _confirm_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_LINK_ARROW)
 
 
-def _confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles of a bucket: near rows (outside the centre's component) against near and far rows of other components."""
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict], list[list[int]]]]:
+    """Near rows and far rows of each tile, and for each near row the far rows that may be linked, best first.
+
+    A near row is outside the component of the bucket's centre.  A pair may be linked if its sizes and its estimate
+    allow it, if components differ, and if this is the first band that it shares.
+    """
     for rows in _groups(batches, ("bucket", "tile_a", "tile_b")):
         near = [r for r in rows if r["side"] == 0]
         far = [r for r in rows if r["side"] == 1]
         if not near or not far:
             continue
+        theirs, sizes = _registers(far), np.array([r["n"] for r in far])
+        roots = np.array([r["root"] for r in far])
+        found = []
+        for row, mine in zip(near, _registers(near), strict=True):
+            fits = (100 * np.minimum(sizes, row["n"]) >= 80 * np.maximum(sizes, row["n"])) & (roots != row["root"])
+            at = np.flatnonzero(fits)
+            if len(at):
+                first = (mine == theirs[at]).reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                at = at[first == row["band"]]
+            if len(at):
+                guesses = estimate(mine, theirs[at], row["n"], sizes[at])
+                order = np.argsort(-guesses, kind="stable")
+                at = at[order][guesses[order] >= LEAST_ESTIMATE]
+            found.append(at.tolist())
+        yield near, far, found
+
+
+def _screen_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that are part of a pair that may be linked."""
+    for near, far, found in _tiles(batches):
+        rows = [r for r, at in zip(near, found, strict=True) if at] + [far[k] for k in sorted({k for at in found for k in at})]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _TILE_ARROW], schema=_TILE_ARROW)
+
+
+def _confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each tile on full sets; once two components are linked, their other pairs are passed over."""
+    for near, far, found in _tiles(batches):
         parent: dict[int, int] = {}
 
         def find(x: int, parent=parent) -> int:
@@ -201,19 +234,10 @@ def _confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 x = parent[x]
             return x
 
-        theirs, sizes = _registers(far), np.array([r["n"] for r in far])
         out = []
-        for row, mine in zip(near, _registers(near), strict=True):
-            guesses = estimate(mine, theirs, row["n"], sizes)
-            # A pair belongs to the first band that it shares.
-            first = (mine == theirs).reshape(len(far), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            for k in np.argsort(-guesses, kind="stable").tolist():
-                if guesses[k] < LEAST_ESTIMATE:
-                    break
-                other = far[k]
-                if first[k] != row["band"] or find(row["root"]) == find(other["root"]):
-                    continue
-                if linked(_elements(row), _elements(other)):
+        for row, at in zip(near, found, strict=True):
+            for other in (far[k] for k in at):
+                if find(row["root"]) != find(other["root"]) and linked(_elements(row), _elements(other)):
                     parent[find(row["root"])] = find(other["root"])
                     out.append((row["id"], other["id"]))
         if out:
@@ -226,6 +250,15 @@ def _with_sets(docs: DataFrame, ids: DataFrame, registers: DataFrame, name: str)
     return save(wanted.mapInArrow(_set_rows, _SETS).dropDuplicates(["id"]).join(registers.select("id", "registers"), "id"), name)
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The pairs (center, id) that are linked: each centre's set goes once to each part of its members that has any."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    heads = salted.select("center", "salt", F.col("center").alias("id")).distinct().withColumn("role", F.lit(0))
+    rows = heads.unionByName(salted.withColumn("role", F.lit(1))).join(sets, "id")
+    rows = rows.repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "role")
+    return rows.mapInArrow(_confirm_stars, _LINK)
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     n = buckets(docs)
@@ -246,12 +279,18 @@ def components(docs: DataFrame) -> DataFrame:
     fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * 80
     pairs = save(members.where(F.col("id") != F.col("center")).where(fits).select("center", "id").distinct(), "nd-stars")
     sets = _with_sets(docs, pairs.select(F.explode(F.array("center", "id")).alias("id")).distinct(), registers, "nd-sets")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    heads = salted.select("center", "salt", F.col("center").alias("id")).distinct().withColumn("role", F.lit(0))
-    rows = heads.unionByName(salted.withColumn("role", F.lit(1))).join(sets, "id")
-    rows = rows.repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "role")
-    links = save(rows.mapInArrow(_confirm_stars, _LINK), "nd-links")
+    # Most members meet the smallest of all their centres first; the other centres only where that left a difference.
+    first = save(pairs.groupBy("id").agg(F.min("center").alias("center")), "nd-first-stars")
+    links = save(_confirmed(first, sets, n), "nd-links")
     roots = save(connected_components(links), "nd-roots")
+    second = pairs.join(first, ["id", "center"], "left_anti")
+    for key in ("id", "center"):
+        named = roots.select(F.col("id").alias(key), F.col("root").alias(f"{key}_root"))
+        second = second.join(named, key, "left").withColumn(f"{key}_root", F.coalesce(f"{key}_root", key))
+    second = save(second.where("id_root <> center_root").select("center", "id"), "nd-second-stars")
+    if not second.isEmpty():
+        links = save(links.union(_confirmed(second, sets, n)), "nd-all-links")
+        roots = save(connected_components(links), "nd-all-roots")
 
     # What is left: buckets of three or more (a pair was its star) in which components differ.
     labelled = members.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -283,10 +322,15 @@ def components(docs: DataFrame) -> DataFrame:
         as_far = near.select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("tile_a"), (-1 - F.col("part")).alias("tile_b"))
         centre_side = rest.where("far").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), last)).alias("tile_a"), F.col("part").alias("tile_b"))
         tiles = as_near.unionByName(as_far).unionByName(centre_side)
-        more = _with_sets(docs, rest.select("id").distinct(), registers, "nd-more-sets")
-        tiles = tiles.join(more, "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-        extra = save(tiles.mapInArrow(_confirm_tiles, _LINK), "nd-extra-links")
-        closed = save(connected_components(links.union(extra)), "nd-closed") if not extra.isEmpty() else roots
+        # Registers alone tell which rows of which tiles may have a link; only those get their full sets.
+        tiles = tiles.join(registers, "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+        tiles = save(tiles.mapInArrow(_screen_tiles, _TILE), "nd-tiles")
+        closed = roots
+        if not tiles.isEmpty():
+            more = _with_sets(docs, tiles.select("id").distinct(), registers, "nd-more-sets")
+            tiles = tiles.join(more, "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+            extra = save(tiles.mapInArrow(_confirm_tiles, _LINK), "nd-extra-links")
+            closed = save(connected_components(links.union(extra)), "nd-closed") if not extra.isEmpty() else roots
 
     of_class = classes.join(closed, "id", "left").withColumn("component_id", F.coalesce("root", "id"))
     of_class = save(of_class.where("copies > 1 or component_id < id").select(*keys, "component_id"), "nd-of-class")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, html_text, media, near_dups, packing, pii, quality, secrets, substrings, warc
+from tessera.llm.oracle import SQL
 from tessera.llm.shared import table
 
 
@@ -56,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
