@@ -64,11 +64,11 @@ def collapse_row_labels(table: DataFrame, *columns: str, indent: str = "  ", tar
     orders = _orders(table)
     frame = table.withColumn("__row", F.row_number().over(Window.orderBy(*orders)) if orders else F.monotonically_increasing_id())
     outer, last = names[:-1], names[-1]
-    first = F.row_number().over(Window.partitionBy(*outer).orderBy("__row")) == 1
+    frame = frame.withColumn("__first", F.row_number().over(Window.partitionBy(*outer).orderBy("__row")) == 1)
     depth = len(outer)
     rows = [F.struct(F.lit(k).alias("k"), F.concat(F.lit(indent * k), F.coalesce(c, F.lit(""))).alias("text")) for k, c in enumerate(outer)]
     own = F.struct(F.lit(depth).alias("k"), F.concat(F.lit(indent * depth), F.coalesce(last, F.lit(""))).alias("text"))
-    frame = frame.withColumn("__x", F.explode(F.when(first, F.array(*rows, own)).otherwise(F.array(own))))
+    frame = frame.withColumn("__x", F.explode(F.when(F.col("__first"), F.array(*rows, own)).otherwise(F.array(own))))
     stub = F.col("__x.k") < depth
     texts = {c for c, t in table.dtypes if t == "string"}
     shown = [F.when(stub, F.lit("" if c in texts else None)).otherwise(F.col(c)).alias(c) for c in rest]
