@@ -95,8 +95,7 @@ def pivot(ctx: Context, layer: Layer, long: Long, index: int) -> LayerPlan:
     wide = long.rows.groupBy(*kept).agg(*aggregates)
     # The final table is one for readers: its rows are numbered in one order.
     place = F.row_number().over(Window.orderBy(*[key.column() for key in long.order]))
-    wide = wide.withColumn("ord_layer_1", place.cast("double") if layer.kind == "desc" else place)
-    wide = wide.withColumn("ord_layer_1", F.col("ord_layer_1").cast("int"))
+    wide = wide.withColumn("ord_layer_1", place.cast("int"))
     for j, extra in enumerate(long.ord_columns, 2):
         wide = wide.withColumn(f"ord_layer_{j}", extra.cast("int"))
     if s.assoc_test is not None and not s.assoc_test.pairwise:
@@ -127,7 +126,7 @@ def transposed(ctx: Context, plan: LayerPlan) -> LayerPlan:
 
 
 def build(spec: TableSpec | str, data: DataFrame, pop_data: DataFrame | None = None, metadata: bool = False, options: Options | None = None, **overrides: Any) -> BuildResult:
-    """Build a table.  ``spec`` may be a path; ``where``, ``cols`` and ``pop_data={...}`` override it (see apply_overrides).
+    """Build a table.  ``spec`` may be a path; ``where=``, ``cols=`` and ``pop_config={"cols", "where"}`` override parts of it.
 
     ``metadata=True`` adds ``row_id`` and lets cells be traced to source rows.
     """
