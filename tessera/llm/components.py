@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import save
+from tessera.llm.shared import merged, save
 
 
 def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -22,11 +22,11 @@ def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each larger neighbour is tied to the smallest of the neighbourhood.
         least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.join(merged(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         edges = save(edges, "cc-large")
         # Small star: each node and its smaller neighbours are tied to the smallest of them.
         least = save(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-        smaller = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smaller = edges.join(merged(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = save(smaller.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

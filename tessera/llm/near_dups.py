@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import arrow_schema, buckets, chunks, save, text_columns
+from tessera.llm.shared import arrow_schema, buckets, chunks, merged, save, text_columns
 from tessera.llm.words import NOT_SPACE, U64, Words, mix
 
 SHINGLE = 2
@@ -246,15 +246,15 @@ def _confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _with_sets(docs: DataFrame, ids: DataFrame, registers: DataFrame, name: str) -> DataFrame:
     """The full sets and registers of the documents whose ids are given (distinct)."""
-    wanted = text_columns(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return save(wanted.mapInArrow(_set_rows, _SETS).dropDuplicates(["id"]).join(registers.select("id", "registers"), "id"), name)
+    wanted = text_columns(docs).join(merged(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    return save(wanted.mapInArrow(_set_rows, _SETS).dropDuplicates(["id"]).join(merged(registers.select("id", "registers")), "id"), name)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """The pairs (center, id) that are linked: each centre's set goes once to each part of its members that has any."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     heads = salted.select("center", "salt", F.col("center").alias("id")).distinct().withColumn("role", F.lit(0))
-    rows = heads.unionByName(salted.withColumn("role", F.lit(1))).join(sets, "id")
+    rows = heads.unionByName(salted.withColumn("role", F.lit(1))).join(merged(sets), "id")
     rows = rows.repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "role")
     return rows.mapInArrow(_confirm_stars, _LINK)
 
@@ -266,14 +266,14 @@ def components(docs: DataFrame) -> DataFrame:
     keys = ["key1", "key2"]
     classes = save(found.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nd-classes")
     own = found.select(F.col("doc_id").alias("id"), "n", "registers", *keys)
-    registers = save(own.join(classes.select("id", *keys), ["id", *keys], "left_semi").select("id", "n", "registers").dropDuplicates(["id"]), "nd-registers")
+    registers = save(own.join(merged(classes.select("id", *keys)), ["id", *keys], "left_semi").select("id", "n", "registers").dropDuplicates(["id"]), "nd-registers")
 
     def bands() -> DataFrame:
         return registers.mapInArrow(_bands, _BAND)
 
     grouped = bands().groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("center"), F.count(F.lit(1)).alias("size"))
     shared = save(grouped.where("size > 1"), "nd-buckets")
-    members = bands().join(shared, "bucket").select("bucket", "band", "id", "n", F.col("center.id").alias("center"), F.col("center.n").alias("center_n"), "size")
+    members = bands().join(merged(shared), "bucket").select("bucket", "band", "id", "n", F.col("center.id").alias("center"), F.col("center.n").alias("center_n"), "size")
     members = save(members, "nd-members")
 
     fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * 80
@@ -283,29 +283,29 @@ def components(docs: DataFrame) -> DataFrame:
     first = save(pairs.groupBy("id").agg(F.min("center").alias("center")), "nd-first-stars")
     links = save(_confirmed(first, sets, n), "nd-links")
     roots = save(connected_components(links), "nd-roots")
-    second = pairs.join(first, ["id", "center"], "left_anti")
+    second = pairs.join(merged(first), ["id", "center"], "left_anti")
     for key in ("id", "center"):
         named = roots.select(F.col("id").alias(key), F.col("root").alias(f"{key}_root"))
-        second = second.join(named, key, "left").withColumn(f"{key}_root", F.coalesce(f"{key}_root", key))
+        second = second.join(merged(named), key, "left").withColumn(f"{key}_root", F.coalesce(f"{key}_root", key))
     second = save(second.where("id_root <> center_root").select("center", "id"), "nd-second-stars")
     if not second.isEmpty():
         links = save(links.union(_confirmed(second, sets, n)), "nd-all-links")
         roots = save(connected_components(links), "nd-all-roots")
 
     # What is left: buckets of three or more (a pair was its star) in which components differ.
-    labelled = members.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    labelled = members.where("size > 2").join(merged(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     labelled = save(labelled, "nd-labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     heads = labelled.where("id = center").select("bucket", F.col("root").alias("main"))
-    mixed = save(mixed.join(heads, "bucket").select("bucket", "main"), "nd-mixed")
-    rest = save(labelled.join(mixed, "bucket").withColumn("far", F.col("root") == F.col("main")), "nd-rest")
+    mixed = save(mixed.join(merged(heads), "bucket").select("bucket", "main"), "nd-mixed")
+    rest = save(labelled.join(merged(mixed), "bucket").withColumn("far", F.col("root") == F.col("main")), "nd-rest")
     counts = rest.groupBy("bucket").agg(F.sum(F.when(F.col("far"), 0).otherwise(1)).alias("n_near"), F.sum(F.when(F.col("far"), 1).otherwise(0)).alias("n_far"))
     # Near rows meet near rows and far rows; a bucket with one near row beside its centre's component may still link.
     counts = save(counts.where("n_near > 0"), "nd-counts")
     if counts.isEmpty():
         closed = roots
     else:
-        rest = rest.join(counts, "bucket")
+        rest = rest.join(merged(counts), "bucket")
         near_parts, far_parts = F.ceil(F.col("n_near") / TILE_NEAR).cast("int"), F.ceil(F.col("n_far") / TILE_FAR).cast("int")
         part = F.pmod(F.xxhash64("id"), F.when(F.col("far"), far_parts).otherwise(near_parts)).cast("int")
         rest = rest.withColumn("part", part)
@@ -323,18 +323,18 @@ def components(docs: DataFrame) -> DataFrame:
         centre_side = rest.where("far").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), last)).alias("tile_a"), F.col("part").alias("tile_b"))
         tiles = as_near.unionByName(as_far).unionByName(centre_side)
         # Registers alone tell which rows of which tiles may have a link; only those get their full sets.
-        tiles = tiles.join(registers, "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+        tiles = tiles.join(merged(registers), "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
         tiles = save(tiles.mapInArrow(_screen_tiles, _TILE), "nd-tiles")
         closed = roots
         if not tiles.isEmpty():
             more = _with_sets(docs, tiles.select("id").distinct(), registers, "nd-more-sets")
-            tiles = tiles.join(more, "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+            tiles = tiles.join(merged(more), "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
             extra = save(tiles.mapInArrow(_confirm_tiles, _LINK), "nd-extra-links")
             closed = save(connected_components(links.union(extra)), "nd-closed") if not extra.isEmpty() else roots
 
-    of_class = classes.join(closed, "id", "left").withColumn("component_id", F.coalesce("root", "id"))
+    of_class = classes.join(merged(closed), "id", "left").withColumn("component_id", F.coalesce("root", "id"))
     of_class = save(of_class.where("copies > 1 or component_id < id").select(*keys, "component_id"), "nd-of-class")
-    return found.select("doc_id", "n", *keys).join(of_class, keys, "left").select(
+    return found.select("doc_id", "n", *keys).join(merged(of_class), keys, "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),

@@ -89,6 +89,11 @@ def buckets(df: DataFrame, factor: float = 1.0) -> int:
     return max(least, min(200_000, int(size * factor / BUCKET_BYTES)))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the corpus: merged by key at every size and never broadcast."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the tables of a data folder."""
     return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
