@@ -1,12 +1,16 @@
 """HTML extraction by composite text density.
 
 Each page is parsed into a tree (tolerant of unclosed and stray tags).  What can't be article text is cut
-first: scripts, styles, forms, navigation, page headers and footers, asides, comments, and elements whose
-class, id or role names such a part.  Then every node's composite density is computed: its characters per
-tag, adjusted by the share of link characters and link tags against those of the body.  A node's density
-sum is the sum of its block children's densities (inline markup belongs to its block); the subtree of largest sum is the article.  Nodes beside it
-whose own density reaches the least density on the path from the body to it, and whose sum is at least
-``SHARE`` of the largest, are parts of a split article and are kept; link lists inside it are not.
+first: scripts, styles, forms, navigation, page headers and footers, asides, comments, hidden elements, and
+elements whose class, id or role names such a part.  Then
+every node's composite density is computed: its characters per tag, adjusted by the share of link characters and
+link tags against those of the body.  A node's density sum is the sum of its block children's densities (inline
+markup belongs to its block); the subtree of largest sum is the core of the article.
+
+The core is widened to the ``article`` (else ``main``) around it, with all its headings, ledes and shorter sections.
+Where there is none, each ancestor adds those of its children that are text: headings, paragraphs, and blocks with
+a paragraph, unless they are link lists.  Any other node whose density reaches the least density on the path from the
+body (included) to the core is a part of a split article and is kept.
 
 Character references are decoded, white space within a block becomes one space, and blocks are joined
 in page order by one space.  Null and empty pages, and pages without text, give an empty text.  Repeated
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import arrow_schema, chunks
 
-#: A second subtree joins the article from this share of the largest density sum.
-SHARE = 0.5
+#: Characters of a paragraph that make a block beside the core text.
+PARAGRAPH = 80
 
 # Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +41,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote figure ol ul dl table".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -188,6 +193,38 @@ def densities(nodes: list[Node]) -> int:
     return body
 
 
+def _text_of(nodes: list[Node], pieces: list[str], up: int, chosen: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where an ancestor of the core has text of its own: loose text, headings, paragraphs, blocks with a paragraph."""
+    out, at, links = [], nodes[up].first, 0
+    paragraphs = {}
+    for k in range(len(nodes) - 1, up, -1):
+        if nodes[k].tag in ("p", "pre", "blockquote") and nodes[k].chars - nodes[k].link_chars >= PARAGRAPH:
+            paragraphs[k] = True
+        if paragraphs.get(k):
+            paragraphs[nodes[k].parent] = True
+    loose = []
+    for k in range(up + 1, len(nodes)):
+        node = nodes[k]
+        if node.first >= nodes[up].last:
+            break
+        if node.parent != up:
+            continue
+        if node.tag in INLINE:
+            links += node.link_chars
+            continue
+        loose.append((at, node.first))
+        at = max(at, node.last)
+        if any(node.first <= a and b <= node.last for a, b in chosen) or not node.chars:
+            continue
+        if 2 * node.link_chars <= node.chars and (node.tag in TEXT or paragraphs.get(k)):
+            out.append((node.first, node.last))
+    loose.append((at, nodes[up].last))
+    # Signs between links are no text.
+    if nodes[up].own > links:
+        out += [(a, b) for a, b in loose if any(x.strip() for x in pieces[a:b])]
+    return out
+
+
 def extract(page: str | None) -> str:
     """The article text of one page."""
     if not page:
@@ -199,16 +236,25 @@ def extract(page: str | None) -> str:
     if not inside:
         return ""
     best = max(inside, key=lambda k: (nodes[k].total, nodes[k].chars, -k))
-    path, k = [], best
-    while k >= 0 and k != body:
-        path.append(nodes[k].density)
-        k = nodes[k].parent
-    least = min(path, default=nodes[best].density)
-    chosen = [(nodes[best].first, nodes[best].last)]
+    path = [best]
+    while path[-1] > 0 and path[-1] != body:
+        path.append(nodes[path[-1]].parent)
+    least = min(nodes[k].density for k in path)
+    around = [k for k in path if nodes[k].tag == "article"] or [k for k in path if nodes[k].tag == "main"]
+    core = around[-1] if around else best
+    chosen = [(nodes[core].first, nodes[core].last)]
+    # Ancestors add their text; around an article only those within the main part do.
+    above = path[path.index(core) + 1 :]
+    if around:
+        last = max((i for i, k in enumerate(above) if nodes[k].tag == "main"), default=-1)
+        above = above[: last + 1]
+    for up in above:
+        chosen += _text_of(nodes, pieces, up, chosen)
     for k in sorted(inside, key=lambda k: -nodes[k].total):
         node = nodes[k]
-        if node.total >= SHARE * nodes[best].total and node.density >= least and all(node.last <= a or node.first >= b for a, b in chosen):
-            chosen.append((node.first, node.last))
+        if node.density >= least and node.tag not in INLINE and 2 * node.link_chars <= node.chars:
+            if all(node.last <= a or node.first >= b for a, b in chosen):
+                chosen.append((node.first, node.last))
     skipped = [
         (n.first, n.last)
         for n in nodes
