@@ -1,17 +1,20 @@
 """HTML extraction by composite text density.
 
 Each page is parsed into a tree (tolerant of unclosed and stray tags).  What can't be article text is cut
-first: scripts, styles, forms, navigation, page headers and footers, asides, comments, hidden elements, and
-elements whose class, id or role names such a part.  Then
+first: scripts, styles, forms, navigation, page headers and footers, asides, comments and hidden elements.  Then
 every node's composite density is computed: its characters per tag, adjusted by the share of link characters and
 link tags against those of the body.  A node's density sum is the sum of its block children's densities (inline
 markup belongs to its block); the subtree of largest sum is the core of the article.
 
 The core is widened to the ``article`` (else ``main``) around it, with all its headings, ledes and shorter sections.
 Where there is none, each ancestor adds those of its children that are text: headings, paragraphs, and blocks with
-a paragraph, unless they are link lists.  Any other node whose density reaches the least density on the path from the
+a title or a paragraph, unless they are link lists.  Any other node whose density reaches the least density on the path from the
 body (included) to the core is a part of a split article and is kept.
 
+A class or id that names an ad, a sidebar, comments and so on is a hint only: it cuts a node of little or link-heavy
+text, and lowers the densities inside a longer one.  It says nothing about a node that holds most of the page's text,
+about headers within an article, or about inline markup of a paragraph.  Link lists inside the article are not kept.
+
 Character references are decoded, white space within a block becomes one space, and blocks are joined
 in page order by one space.  Null and empty pages, and pages without text, give an empty text.  Repeated
 pages give equal texts; other columns are ignored; an empty table gives an empty result.
@@ -30,16 +33,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import arrow_schema, chunks
 
+#: Characters up to which a hinted node is cut, and the factor of the densities in a longer one.
+LITTLE, HINTED = 200, 0.2
 #: Characters of a paragraph that make a block beside the core text.
 PARAGRAPH = 80
 
 # Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
-DROPPED = frozenset("nav footer aside form dialog menu button figcaption".split())
+RAW = frozenset("script style textarea title noscript iframe template svg select annotation annotation-xml".split())
+DROPPED = frozenset("nav footer aside form dialog menu button".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr object math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder "
+    "munderover mmultiscripts mprescripts mfenced menclose mpadded mphantom mstyle merror mtable mtr mtd".split()
 )
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote figure ol ul dl table".split())
 CLOSES_P = frozenset(
@@ -55,6 +61,9 @@ HINT = re.compile(
     r"breadcrumbs?|login|signup|search|widget|toolbar|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Headers of an article, not of the site; and names that leave nothing but an ad.
+ARTICLE_HEADER = re.compile(r"\b(?:entry|post|article|story|content|section|blog|news)[_-]+header\b", re.IGNORECASE)
+AD = re.compile(r"\s*(?:ads?|advert\w*)\s*", re.IGNORECASE)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.DOTALL,
@@ -63,12 +72,15 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "first", "last", "chars", "tags", "link_chars", "link_tags", "own", "density", "total")
+    __slots__ = ("tag", "parent", "first", "last", "chars", "tags", "link_chars", "link_tags", "own", "density", "total", "hint", "cut")
 
     def __init__(self, tag: str, parent: int, first: int) -> None:
         self.tag, self.parent, self.first, self.last = tag, parent, first, first
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.density = self.total = 0.0
+        #: 1 where class or id hint at other than article text, 2 where they name an ad and nothing else.
+        self.hint = 0
+        self.cut = False
 
 
 def _hidden(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -80,13 +92,30 @@ def _hidden(tag: str, attributes: str, inside_article: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id") and HINT.search(value):
-            return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             return True
     return False
 
 
+def _hint(tag: str, attributes: str, names: list[str]) -> int:
+    """What class and id say of an element within the open elements ``names``."""
+    if not attributes or tag in ("html", "body", "article", "main") or tag in INLINE and "p" in names:
+        return 0
+    within = "article" in names or "main" in names
+    if tag == "header" and within:
+        return 0
+    out = 0
+    for m in ATTRIBUTE.finditer(attributes):
+        value = m[2] or m[3] or m[4] or ""
+        if m[1].lower() not in ("class", "id"):
+            continue
+        value = ARTICLE_HEADER.sub("", value)
+        found = [x[0].strip(" \t\r\n_-").lower() for x in HINT.finditer(value)]
+        if any(x != "header" or not within for x in found):
+            out = max(out, 2 if AD.fullmatch(value) else 1)
+    return out
+
+
 def parse(page: str) -> tuple[list[Node], list[str]]:
     """The kept nodes in page order (the first is the root), and pieces of text with block ends between."""
     nodes, pieces = [Node("#root", -1, 0)], []
@@ -160,17 +189,41 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
             stack.append(-1)
         else:
             nodes.append(Node(name, stack[-1], len(pieces)))
+            nodes[-1].hint = _hint(name, attributes, names[:-1])
             stack.append(len(nodes) - 1)
     close(0)
     return nodes, pieces
 
 
+def _apply_hints(nodes: list[Node], body: int) -> None:
+    """Cut hinted nodes of little or link-heavy text; a hint on most of the page's text is taken back."""
+    if not any(n.hint for n in nodes):
+        return
+    chars, links = [n.own for n in nodes], [0] * len(nodes)
+    for k in range(len(nodes) - 1, 0, -1):
+        if nodes[k].tag == "a":
+            links[k] = chars[k]
+        chars[nodes[k].parent] += chars[k]
+        links[nodes[k].parent] += links[k]
+    for k, node in enumerate(nodes):
+        if node.parent >= 0 and nodes[node.parent].cut:
+            node.cut = True
+        elif node.hint:
+            if 2 * chars[k] > chars[body] and not (node.hint == 2 and chars[k] <= LITTLE):
+                node.hint = 0
+            else:
+                node.cut = chars[k] <= LITTLE or 2 * links[k] > chars[k]
+
+
 def densities(nodes: list[Node]) -> int:
     """Fill in counts and densities from the leaves up; returns the body's index."""
     body = next((k for k, n in enumerate(nodes) if n.tag == "body"), 0)
     if body and sum(n.own for n in nodes[:body]) > sum(n.own for n in nodes[body:]):
         body = 0
+    _apply_hints(nodes, body)
     for node in reversed(nodes):
+        if node.cut:
+            continue
         node.chars += node.own
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
@@ -182,23 +235,27 @@ def densities(nodes: list[Node]) -> int:
             up.link_tags += node.link_tags
     whole = nodes[body]
     ratio = whole.link_chars / max(whole.chars, 1)
-    for node in reversed(nodes):
+    weights = [1.0] * len(nodes)
+    for k, node in enumerate(nodes):
+        weights[k] = (weights[node.parent] if node.parent >= 0 else 1.0) * (HINTED if node.hint else 1.0)
+    for node, weight in zip(reversed(nodes), reversed(weights), strict=True):
         if node.chars:
             tags, links, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
             plain = max(node.chars - node.link_chars, 1)
             base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
-            node.density = max(node.chars / tags * math.log(max(node.chars / links * tags / link_tags, 1.0)) / math.log(max(base, 1.0) + math.e - 1), 0.0)
+            node.density = max(node.chars / tags * math.log(max(node.chars / links * tags / link_tags, 1.0)) / math.log(max(base, 1.0) + math.e - 1), 0.0) * weight
         if node.parent >= 0 and node.tag not in INLINE:
             nodes[node.parent].total += node.density
     return body
 
 
 def _text_of(nodes: list[Node], pieces: list[str], up: int, chosen: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Where an ancestor of the core has text of its own: loose text, headings, paragraphs, blocks with a paragraph."""
+    """Where an ancestor of the core has text of its own: loose text, headings, paragraphs, blocks with a title or paragraph."""
     out, at, links = [], nodes[up].first, 0
     paragraphs = {}
     for k in range(len(nodes) - 1, up, -1):
-        if nodes[k].tag in ("p", "pre", "blockquote") and nodes[k].chars - nodes[k].link_chars >= PARAGRAPH:
+        plain = nodes[k].chars - nodes[k].link_chars
+        if not nodes[k].cut and (nodes[k].tag in ("p", "pre", "blockquote") and plain >= PARAGRAPH or nodes[k].tag == "h1" and plain):
             paragraphs[k] = True
         if paragraphs.get(k):
             paragraphs[nodes[k].parent] = True
@@ -214,7 +271,7 @@ def _text_of(nodes: list[Node], pieces: list[str], up: int, chosen: list[tuple[i
             continue
         loose.append((at, node.first))
         at = max(at, node.last)
-        if any(node.first <= a and b <= node.last for a, b in chosen) or not node.chars:
+        if any(node.first <= a and b <= node.last for a, b in chosen) or not node.chars or node.hint or node.cut:
             continue
         if 2 * node.link_chars <= node.chars and (node.tag in TEXT or paragraphs.get(k)):
             out.append((node.first, node.last))
@@ -260,11 +317,13 @@ def extract(page: str | None) -> str:
         for n in nodes
         if n.tag in ("ul", "ol", "div", "section", "table") and n.link_tags >= 3 and n.link_chars > 0.6 * n.chars
     ]
+    gone = {(n.first, n.last) for n in nodes if n.cut}
+    skipped = sorted({*skipped, *gone}, key=lambda x: (x[0], -x[1]))
     out = []
     for first, last in sorted(chosen):
         at = first
         for a, b in skipped:
-            if at <= a and b <= last and (a, b) != (first, last):
+            if at <= a and b <= last and ((a, b) != (first, last) or (a, b) in gone):
                 out += [*pieces[at:a], "\n"]
                 at = b
         out += [*pieces[at:last], "\n"]
