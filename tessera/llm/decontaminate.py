@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.shared import arrow_schema, chunks, settle, text_columns
 from tessera.llm.words import ALPHANUMERIC, U64, Words
@@ -243,31 +244,68 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, max_span: int | None = None) -> DataFrame:
+def _all_hits(block: Words, machine: Automaton, earlier: list[list[int]] | None) -> np.ndarray:
+    """Which words of a block are hit by an automaton, or were by earlier ones (starts and ends in turn)."""
+    hit, _ = machine.hits(block)
+    for d, spans in enumerate(earlier or ()):
+        for a, b in zip(spans[::2], spans[1::2], strict=True):
+            hit[block.first[d] + a : block.first[d] + b] = True
+    return hit
+
+
+def _edges(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.diff(hit.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, max_span: int | None = None, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """The columns of ``docs`` without benchmark passages: hit spans are cut from the texts.
 
     A document with more than ``max_coverage`` of its words hit, or with a hit span longer than ``max_span``
-    words, goes as a whole.  ``n_chars`` is set anew where there is such a column.
+    words, goes as a whole.  ``n_chars`` is set anew where there is such a column.  Several automata all read the original
+    text and hand their spans on with the rows; the last one's pass cuts and judges, once, so the result doesn't depend on
+    how items are dealt.
     """
     context = settle(docs.sparkSession).sparkContext
-    kept = docs
-    place = docs.columns.index("text")
-    for machine in automata(benchmark):
-        shared = context.broadcast(machine)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    place, width = docs.columns.index("text"), len(docs.columns)
+    name = "hits"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+
+    def read(batch: pa.RecordBatch, shared) -> tuple[list[bytes], Words, np.ndarray]:
+        texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
+        block = Words(texts, ALPHANUMERIC, lower=True)
+        earlier = batch.column(width).to_pylist() if batch.num_columns > width else None
+        return texts, block, _all_hits(block, shared.value, earlier)
+
+    def mark(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "text"):
+                _, block, hit = read(batch, shared)
+                spans: list[list[int]] = [[] for _ in block.counts]
+                for d in np.unique(block.doc[hit]).tolist():
+                    spans[d] = np.stack(_edges(hit[block.first[d] : block.first[d + 1]]), axis=1).ravel().tolist()
+                field = pa.field(name, pa.list_(pa.int64()))
+                schema = pa.schema([*list(batch.schema)[:width], field])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(spans, field.type)], schema=schema)
+
+        return run
+
+    def cut(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text"):
-                texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
-                block = Words(texts, ALPHANUMERIC, lower=True)
-                hit, found = shared.value.hits(block)
+                texts, block, hit = read(batch, shared)
+                columns, schema = [*batch.columns[:width]], pa.schema(list(batch.schema)[:width])
+                found = set(np.unique(block.doc[hit]).tolist())
                 if not found:
-                    yield batch
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
                     continue
                 keep, new = np.ones(len(texts), dtype=bool), batch.column(place).to_pylist()
                 for d in found:
                     a, b = block.first[d], block.first[d + 1]
-                    edges = np.diff(hit[a:b].astype(np.int8), prepend=0, append=0)
-                    begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+                    begins, ends = _edges(hit[a:b])
                     if hit[a:b].sum() > max_coverage * (b - a) or max_span and (ends - begins).max() > max_span:
                         keep[d] = False
                     origin, at, parts = block.offsets[d], 0, []
@@ -275,13 +313,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, max_
                         parts.append(texts[d][at : block.starts[a + x] - origin])
                         at = block.ends[a + y - 1] - origin
                     new[d] = b"".join([*parts, texts[d][at:]]).decode()
-                columns = [*batch.columns]
-                columns[place] = pa.array(new, batch.schema.field(place).type)
-                if "n_chars" in batch.schema.names:
-                    k = batch.schema.names.index("n_chars")
+                columns[place] = pa.array(new, schema.field(place).type)
+                if "n_chars" in schema.names:
+                    k = schema.names.index("n_chars")
                     old = columns[k].to_pylist()
-                    columns[k] = pa.array([len(new[d]) if d in found else n for d, n in enumerate(old)], batch.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+                    columns[k] = pa.array([len(new[d]) if d in found else n for d, n in enumerate(old)], schema.field(k).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep))
+
+        return run
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+    machines = [context.broadcast(machine) for machine in automata(benchmark, shard_words=shard_words)]
+    marked, rows = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]), docs
+    for shared in machines[:-1]:
+        rows = rows.mapInArrow(mark(shared), marked)
+    return rows.mapInArrow(cut(machines[-1]), docs.schema)
