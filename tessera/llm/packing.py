@@ -40,8 +40,8 @@ GAP = 5e-4
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 600_000
 
-# The vocabulary's own splitting pattern, for texts of ASCII and Latin-1 letters only; others
-# are split by the tokenizer itself.
+# The vocabulary's own splitting pattern, for texts of ASCII and Latin-1 letters only; others,
+# and those that hold an added token, are split by the tokenizer itself.
 PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00ff]*")
 PARTS = re.compile(
     r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+"
@@ -52,6 +52,8 @@ _BREAK = 0xFF
 
 _tokenizers: dict[str | None, object] = {}
 _known: dict[str, bytes] = {}
+#: The texts of a vocabulary's added tokens, which are found before a text is split into parts.
+_added: dict[str | None, tuple[str, ...]] = {}
 
 
 def tokenizer(path: str | None = None):
@@ -62,8 +64,9 @@ def tokenizer(path: str | None = None):
 
         _known.clear()
         _tokenizers.clear()
+        _added.clear()
         _tokenizers[path] = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        _tokenizers[path].encode_special_tokens = True
+        _added[path] = tuple(t.content for t in _tokenizers[path].get_added_tokens_decoder().values())
     return _tokenizers[path]
 
 
@@ -97,7 +100,8 @@ def token_bytes(texts: list[str], path: str | None = None) -> list[bytes]:
     if len(_known) > REMEMBERED:  # common parts came first
         for part in list(islice(_known, REMEMBERED // 2, None)):
             del _known[part]
-    parts = [PARTS.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
+    added = _added[path]
+    parts = [PARTS.findall(t) if PLAIN.fullmatch(t) and not any(a in t for a in added) else None for t in texts]
     new = {p for some in parts if some for p in some if p not in _known}
     if new:
         _learn(list(new), path)
