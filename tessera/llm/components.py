@@ -15,6 +15,7 @@ def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
     two plain exchanges, which adaptive execution splits where a node has very many neighbours.
     Takes a number of rounds that grows with the logarithm of the nodes; each round is written, so a lost executor never
     repeats earlier ones.  Nothing is collected but two sums a round.
+    An error is raised if the edges still change in the last of ``limit`` rounds.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges, before = save(edges, "cc-edges"), None
@@ -32,5 +33,7 @@ def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components were not closed after {limit} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     return roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
