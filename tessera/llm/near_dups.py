@@ -1,34 +1,41 @@
 """Near-duplicate detection with SetSketch registers.
 
-A document's set holds its distinct 2-word shingles (A-Z in lower case; with one word, that word), as 64-bit hashes.
-Register k is the truncated exponential rank ``floor(1 - log_B(x_k))`` of the smallest of the elements' k-th
-exponential variates, so registers merge by maximum and are locality-sensitive.
+A document's set holds its distinct word shingles (A-Z in lower case; with fewer words, the whole sequence as one), as
+64-bit hashes.  Register k is the truncated exponential rank ``floor(1 - log_B(x_k))`` of the smallest of the elements'
+k-th exponential variates, so registers merge by maximum and are locality-sensitive.
 
 1. Documents of equal sets are one *class*, represented by its smallest doc_id (hashes of whole sets, 128 bits).
 2. ``BANDS`` bands of ``ROWS`` registers deal representatives into buckets.  Two sets of Jaccard similarity 0.8 share
    no bucket with probability (1 - 0.8**ROWS) ** BANDS, below 1e-9.
-3. In each bucket all are compared with the smallest one (a star, never all pairs): the registers' joint
-   likelihood estimates the similarity, pairs not clearly below it are confirmed on the full sets, and links are
-   closed to components.
-4. Buckets in which more than one component is left are compared across components, in tiles of bounded
-   size that stop at the first link between two components, and components are closed again.
-
-No bucket, group or component is ever gathered in one task or on the driver: counts are pre-aggregated, hot
-centres are salted, and joins back are between written tables, which adaptive execution can split.
-
-Null and empty texts have an empty set and link with nothing; repeated rows are members of one class; other columns are
-ignored; an empty table gives an empty result.
+3. In each bucket all are compared with the smallest one (a star, never all pairs), on full sets: first with the
+   smallest of a document's centres, then with the others as far as components still differ.
+4. A bucket that still holds several components has a *main* one, the largest, and *outsiders*.  Where there are at
+   most ``TILE`` outsiders they meet each other and parts of at most ``TILE`` members of the main component, so rows grow
+   with the bucket.  A bucket of more outsiders is dealt again by further bands (``BRANCHES`` of them, so that two
+   sets of similarity 0.8 part everywhere with probability below 1e-4 at any depth), level by level, down to
+   buckets of few outsiders.  Buckets that no band is left for are compared in full, tile by tile.
+5. In a tile, the registers' joint likelihood estimates the similarity; pairs not clearly below 0.8 are confirmed on
+   the full sets, and links are closed to components.
+
+No bucket, group or component is ever gathered in one task or on the driver: counts are pre-aggregated, members of a
+centre are salted by the size of their buckets, and joins back are between written tables, which adaptive execution
+can split.  A tile holds at most about ``TILE`` rows and ``TILE_ELEMENTS`` elements a side.
+
+Null and empty texts have an empty set and link with nothing; repeated rows are members of one class.  A doc_id on
+rows of different texts is one node: every row has its own n_shingles and the component of its text's class, and
+classes of the same smallest doc_id are tied.  Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -42,8 +49,10 @@ REGISTERS = BANDS * ROWS
 B, RATE, TOP = 1.001, 20.0, 65_535
 #: A pair whose estimate is below this (five deviations under 0.8) isn't confirmed on full sets.
 LEAST_ESTIMATE = 0.62
-#: Parts into which the members of a centre are dealt, and members of a tile's sides.
-SALTS, TILE_NEAR, TILE_FAR = 256, 64, 512
+#: Members of a centre that are confirmed together; rows and elements of a tile's side.
+STAR, TILE, TILE_ELEMENTS = 64, 512, 4_000_000
+#: Further bands by which a bucket of many outsiders is dealt again, and how often at most.
+BRANCHES, DEPTH = 3, 12
 
 _FACTORS = mix(np.arange(1, REGISTERS + 1).astype(U64)) | U64(1)
 _SHIFTS = mix(np.arange(1001, REGISTERS + 1001).astype(U64))
@@ -51,18 +60,20 @@ _GRID = np.linspace(0, 1, 101)
 
 _SKETCH, _SKETCH_ARROW = arrow_schema("doc_id long, n long, key1 long, key2 long, registers binary")
 _BAND, _BAND_ARROW = arrow_schema("bucket long, band int, id long, n long")
-_SETS, _SETS_ARROW = arrow_schema("id long, n long, elements binary")
-_TILE, _TILE_ARROW = arrow_schema("bucket long, tile_a int, tile_b int, side int, band int, id long, root long")
+_SETS, _SETS_ARROW = arrow_schema("id long, elements binary")
+_REST, _REST_ARROW = arrow_schema("bucket long, band int, used long, id long, n long, root long, deep long, registers binary")
+_TILE, _TILE_ARROW = arrow_schema("bucket long, tile_a int, tile_b int, side int, band int, used long, id long, n long, root long, deep long, registers binary")
 _LINK, _LINK_ARROW = arrow_schema("a long, b long")
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Each text's set of shingle hashes, sorted."""
     block = Words(texts, NOT_SPACE, lower=True)
-    h, ok = block.rolling(SHINGLE), block.valid(SHINGLE)
+    h, ok = block.rolling(shingle), block.valid(shingle)
+    short = {k: block.rolling(k) for k in np.unique(block.counts[(block.counts > 0) & (block.counts < shingle)]).tolist()}
     out = []
     for a, b in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True):
-        out.append(np.unique(block.hash[a:b] if b - a < SHINGLE else h[a:b][ok[a:b]]))
+        out.append(np.unique(h[a:b][ok[a:b]]) if b - a >= shingle else short[b - a][a : a + 1] if b > a else h[:0])
     return out
 
 
@@ -113,12 +124,12 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= 80 * (len(both) - shared)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, the set's size, its 128-bit key and its registers (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
+            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), shingle)
             keys = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets])
             full = [s for s in sets if len(s)]
             rows = iter(sketch(full) if full else ())
@@ -134,21 +145,53 @@ def sketches(docs: DataFrame) -> DataFrame:
     return text_columns(docs).mapInArrow(run, _SKETCH)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> Iterator[np.ndarray]:
+    return (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        ids, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
-        columns = [band_keys(registers).ravel(), np.tile(np.arange(BANDS, dtype=np.int32), len(ids)), np.repeat(ids, BANDS), np.repeat(sizes, BANDS)]
+        ids, sizes = _numbers(batch, "id", "n")
+        columns = [band_keys(_matrix(batch.column("registers"))).ravel(), np.tile(np.arange(BANDS, dtype=np.int32), len(ids)), np.repeat(ids, BANDS), np.repeat(sizes, BANDS)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_BAND_ARROW)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
-        sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
-        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, schema=_SETS_ARROW)
+def _deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row once for each of ``BRANCHES`` bands that its bucket hasn't used, in a bucket of that band's registers."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, band, used = _numbers(batch, "bucket", "band", "used")
+        used = used | (np.int64(1) << band.astype(np.int64))
+        keys = band_keys(_matrix(batch.column("registers"))).view(U64)
+        # The order of bands depends on the bucket alone, so that all its members take the same.
+        order = mix(bucket.view(U64)[:, None] + np.arange(1, BANDS + 1, dtype=U64)[None, :]) >> U64(1)
+        order[(used[:, None] >> np.arange(BANDS)) & 1 == 1] = U64(1) << U64(63)
+        for k in range(BRANCHES):
+            pick = np.argpartition(order, k, axis=1)[:, k]
+            row = np.flatnonzero(np.take_along_axis(order, pick[:, None], 1)[:, 0] < U64(1) << U64(63))
+            if len(row):
+                part, pick = batch.take(pa.array(row)), pick[row]
+                fresh = mix(mix(bucket.view(U64)[row]) + keys[row, pick]).view(np.int64)
+                part = part.set_column(part.schema.get_field_index("bucket"), "bucket", pa.array(fresh))
+                part = part.set_column(part.schema.get_field_index("used"), "used", pa.array(used[row] | (np.int64(1) << pick.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in _REST_ARROW], schema=_REST_ARROW)
+
+
+def _set_rows(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), shingle)
+            columns = [batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SETS_ARROW)
+
+    return run
 
 
 def _registers(rows: list[dict]) -> np.ndarray:
@@ -172,61 +215,77 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 
 def _confirm_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (center, salt, role): the centre's own row, then its members, one by one."""
-    center = None
+    """Rows sorted by (center, salt, role): the centre's own rows, then its members, one by one."""
+    of, centers = None, []
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             if row["role"] == 0:
-                center, mine = row, np.frombuffer(row["registers"], dtype=np.uint16)
-                elements = _elements(row)
-                continue
-            guess = estimate(mine, _registers([row]), center["n"], np.array([row["n"]]))[0]
-            if guess >= LEAST_ESTIMATE and linked(elements, _elements(row)):
+                centers = [*(centers if of == (row["center"], row["salt"]) else []), _elements(row)]
+                of = (row["center"], row["salt"])
+            elif any(linked(x, _elements(row)) for x in centers):
                 out.append((row["center"], row["id"]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_LINK_ARROW)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict], list[list[int]]]]:
-    """Near rows and far rows of each tile, and for each near row the far rows that may be linked, best first.
+def _meeting(mine: np.ndarray, row: dict, theirs: np.ndarray) -> np.ndarray:
+    """The rows that meet ``row`` here and nowhere else; bands are compared as one number each.
 
-    A near row is outside the component of the bucket's centre.  A pair may be linked if its sizes and its estimate
-    allow it, if components differ, and if this is the first band that it shares.
+    Two documents that share a bucket of few outsiders meet in the first such bucket; others meet wherever they are
+    dealt together again.  ``deep`` tells the bands of a document whose buckets are dealt again.
+    """
+    shared = mine.view(U64) == theirs.view(U64)
+    if row["deep"]:
+        shared &= (row["deep"] >> np.arange(BANDS)) & 1 == 0
+    if row["used"]:
+        return np.flatnonzero(~shared.any(axis=1))
+    return np.flatnonzero(shared.argmax(axis=1) == row["band"])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], estimated: bool) -> Iterator[tuple[list[dict], list[dict], list[list[int]]]]:
+    """Near rows and other rows of each tile, and for each near row the others that may be linked, likeliest first.
+
+    Near rows are outsiders.  In the first tile of each part of them they also meet each other.  A pair may be linked if
+    sizes allow it, half of the registers are equal, components differ and, if asked for, its estimate allows it.
     """
     for rows in _groups(batches, ("bucket", "tile_a", "tile_b")):
         near = [r for r in rows if r["side"] == 0]
-        far = [r for r in rows if r["side"] == 1]
-        if not near or not far:
+        if not near:
             continue
+        far = [*(near if rows[0]["tile_b"] == 0 else []), *(r for r in rows if r["side"] == 1)]
         theirs, sizes = _registers(far), np.array([r["n"] for r in far])
         roots = np.array([r["root"] for r in far])
         found = []
-        for row, mine in zip(near, _registers(near), strict=True):
+        for k, (row, mine) in enumerate(zip(near, _registers(near), strict=True)):
             fits = (100 * np.minimum(sizes, row["n"]) >= 80 * np.maximum(sizes, row["n"])) & (roots != row["root"])
+            if rows[0]["tile_b"] == 0:
+                fits[: k + 1] = False
             at = np.flatnonzero(fits)
             if len(at):
-                first = (mine == theirs[at]).reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                at = at[first == row["band"]]
+                at = at[_meeting(mine, row, theirs[at])]
             if len(at):
-                guesses = estimate(mine, theirs[at], row["n"], sizes[at])
-                order = np.argsort(-guesses, kind="stable")
-                at = at[order][guesses[order] >= LEAST_ESTIMATE]
+                equal = (mine == theirs[at]).sum(axis=1)
+                at, equal = at[equal >= REGISTERS // 2], equal[equal >= REGISTERS // 2]
+                at = at[np.argsort(-equal, kind="stable")]
+            if len(at) and estimated:
+                at = at[estimate(mine, theirs[at], row["n"], sizes[at]) >= LEAST_ESTIMATE]
             found.append(at.tolist())
         yield near, far, found
 
 
 def _screen_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each tile that are part of a pair that may be linked."""
-    for near, far, found in _tiles(batches):
-        rows = [r for r, at in zip(near, found, strict=True) if at] + [far[k] for k in sorted({k for at in found for k in at})]
-        if rows:
+    for near, far, found in _tiles(batches, True):
+        wanted = {id(r): r for r, at in zip(near, found, strict=True) if at} | {id(far[k]): far[k] for at in found for k in at}
+        if wanted:
+            rows = wanted.values()
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _TILE_ARROW], schema=_TILE_ARROW)
 
 
 def _confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each tile on full sets; once two components are linked, their other pairs are passed over."""
-    for near, far, found in _tiles(batches):
+    """Links between components, on full sets; once two components are linked, their other pairs are passed over."""
+    for near, far, found in _tiles(batches, False):
         parent: dict[int, int] = {}
 
         def find(x: int, parent=parent) -> int:
@@ -239,118 +298,148 @@ def _confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for other in (far[k] for k in at):
                 if find(row["root"]) != find(other["root"]) and linked(_elements(row), _elements(other)):
                     parent[find(row["root"])] = find(other["root"])
-                    out.append((row["id"], other["id"]))
+                    out.append((row["root"], other["root"]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_LINK_ARROW)
 
 
-def _with_sets(docs: DataFrame, ids: DataFrame, registers: DataFrame, name: str) -> DataFrame:
-    """The full sets and registers of the documents whose ids are given (distinct)."""
-    wanted = text_columns(docs).join(merged(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    return save(wanted.mapInArrow(_set_rows, _SETS).dropDuplicates(["id"]).join(merged(registers.select("id", "registers")), "id"), name)
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """The pairs (center, id) that are linked: each centre's set goes once to each part of its members that has any."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    heads = salted.select("center", "salt", F.col("center").alias("id")).distinct().withColumn("role", F.lit(0))
-    rows = heads.unionByName(salted.withColumn("role", F.lit(1))).join(merged(sets), "id")
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / STAR)).alias("salt")
+    both = F.array(F.struct(F.col("center").alias("id"), F.lit(0).alias("role")), F.struct("id", F.lit(1).alias("role")))
+    rows = pairs.select("center", salt, F.explode(both).alias("row")).select("center", "salt", "row.id", "row.role").distinct()
+    rows = rows.join(merged(sets), "id")
     rows = rows.repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "role")
     return rows.mapInArrow(_confirm_stars, _LINK)
 
 
-def components(docs: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Buckets of several components: the largest one, and the rows and elements in it (far) and outside (near)."""
+    parts = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
+    main = F.max(F.struct("rows", "root", "elements")).alias("main")
+    found = parts.groupBy("bucket").agg(main, F.sum("rows").alias("rows"), F.sum("elements").alias("elements"), F.count(F.lit(1)).alias("parts"))
+    return found.where("parts > 1").select(
+        "bucket",
+        F.col("main.root").alias("main"),
+        F.col("main.rows").alias("n_far"),
+        F.col("main.elements").alias("e_far"),
+        (F.col("rows") - F.col("main.rows")).alias("n_near"),
+        (F.col("elements") - F.col("main.elements")).alias("e_near"),
+    )
+
+
+def _deal_tiles(rest: DataFrame) -> DataFrame:
+    """The tiles of mixed buckets: each part of the outsiders with each part of the main component, and with later parts."""
+
+    def parts(side: str) -> Column:
+        return F.ceil(F.greatest(F.col(f"n_{side}") / TILE, F.col(f"e_{side}") / TILE_ELEMENTS)).cast("int")
+
+    far, near_parts, far_parts = F.col("root") == F.col("main"), parts("near"), parts("far")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.when(far, far_parts).otherwise(near_parts)).cast("int"))
+    none = F.array().cast("array<struct<side:int,tile_a:int,tile_b:int>>")
+
+    def places(low: Column, high: Column, make: Callable[[Column], tuple[int, Column, Column]]) -> Column:
+        spots = F.transform(F.sequence(low, high), lambda k: F.struct(*(x.alias(c) for c, x in zip(("side", "tile_a", "tile_b"), map(F.lit, make(k)), strict=True))))
+        return F.when(low <= high, spots).otherwise(none)
+
+    zero, part = F.lit(0), F.col("part")
+    with_main = places(zero, far_parts - 1, lambda k: (0, part, k))
+    with_later = places(part + 1, near_parts - 1, lambda k: (0, part, -1 - k))
+    with_earlier = places(zero, part - 1, lambda k: (1, k, -1 - part))
+    of_main = places(zero, near_parts - 1, lambda k: (1, k, part))
+    spot = F.explode(F.when(far, of_main).otherwise(F.concat(with_main, with_later, with_earlier))).alias("spot")
+    tiles = rest.select(*(c for c in rest.columns if c != "part"), spot)
+    return tiles.select(*(F.col(f"spot.{f.name}" if f.name in ("side", "tile_a", "tile_b") else f.name).alias(f.name) for f in _TILE))
+
+
+def _outsiders(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, n: int) -> DataFrame | None:
+    """Links (a, b) between the roots of components that stars left apart; None if no pair needs to be confirmed."""
+    # A bucket of two was its own star.
+    labelled = members.where("size > 2").join(merged(roots), "id", "left")
+    labelled = labelled.select("bucket", "band", "id", "n", F.coalesce("root", "id").alias("root"))
+    sizes = ["main", "n_near", "e_near", "n_far", "e_far"]
+    rest = save(labelled.join(merged(_mixed(labelled)), "bucket"), "nd-mixed")
+    many = F.col("n_near") > TILE
+    again = not rest.where(many).isEmpty()
+    known = rest.join(merged(classes.select("id", "registers")), "id")
+    if again:
+        bands = rest.where(many).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("deep"))
+        known = known.join(merged(bands), "id", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long")))
+    else:
+        known = known.withColumn("deep", F.lit(0).cast("long"))
+    rest = known.withColumn("used", F.lit(0).cast("long")).select(*_REST.fieldNames(), *sizes)
+    rest, level = save(rest, "nd-rest") if again else rest, 0
+    ready = [rest.where(~many)]
+    while again and level < DEPTH:
+        level += 1
+        dealt = save(rest.where(many).select(*_REST.fieldNames()).mapInArrow(_deal_again, _REST), "nd-dealt")
+        rest = save(dealt.join(merged(_mixed(dealt)), "bucket").select(*_REST.fieldNames(), *sizes), "nd-rest")
+        again = not rest.where(many).isEmpty()
+        ready.append(rest.where(~many))
+    if again:
+        ready.append(rest.where(many))
+    tiles = _deal_tiles(reduce(DataFrame.unionByName, ready))
+    tile = ["bucket", "tile_a", "tile_b"]
+    # Registers alone tell which rows of which tiles may have a link; only those get their full sets.
+    tiles = save(tiles.repartition(n, *tile).sortWithinPartitions(*tile, "side").mapInArrow(_screen_tiles, _TILE), "nd-tiles")
+    if tiles.isEmpty():
+        return None
+    tiles = tiles.join(merged(sets), "id").repartition(n, *tile).sortWithinPartitions(*tile, "side")
+    return save(tiles.mapInArrow(_confirm_tiles, _LINK), "nd-extra-links")
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    n = buckets(docs)
-    found = save(sketches(docs), "nd-sketches")
-    keys = ["key1", "key2"]
-    classes = save(found.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nd-classes")
-    own = found.select(F.col("doc_id").alias("id"), "n", "registers", *keys)
-    registers = save(own.join(merged(classes.select("id", *keys)), ["id", *keys], "left_semi").select("id", "n", "registers").dropDuplicates(["id"]), "nd-registers")
+    n, keys = buckets(docs), ["key1", "key2"]
+    found = save(sketches(docs, shingle), "nd-sketches")
+    first = F.min(F.struct("doc_id", "n", "registers")).alias("first")
+    classes = found.where("n > 0").groupBy(*keys).agg(first, F.count(F.lit(1)).alias("copies"))
+    classes = save(classes.select(*keys, "copies", F.col("first.doc_id").alias("id"), "first.n", "first.registers"), "nd-classes")
 
     def bands() -> DataFrame:
-        return registers.mapInArrow(_bands, _BAND)
+        return classes.select("id", "n", "registers").mapInArrow(_bands, _BAND)
 
     grouped = bands().groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("center"), F.count(F.lit(1)).alias("size"))
-    shared = save(grouped.where("size > 1"), "nd-buckets")
-    members = bands().join(merged(shared), "bucket").select("bucket", "band", "id", "n", F.col("center.id").alias("center"), F.col("center.n").alias("center_n"), "size")
+    members = bands().join(merged(grouped.where("size > 1")), "bucket").select("bucket", "band", "id", "n", F.col("center.id").alias("center"), F.col("center.n").alias("center_n"), "size")
     members = save(members, "nd-members")
 
-    fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * 80
-    pairs = save(members.where(F.col("id") != F.col("center")).where(fits).select("center", "id").distinct(), "nd-stars")
-    sets = _with_sets(docs, pairs.select(F.explode(F.array("center", "id")).alias("id")).distinct(), registers, "nd-sets")
-    # Most members meet the smallest of all their centres first; the other centres only where that left a difference.
-    first = save(pairs.groupBy("id").agg(F.min("center").alias("center")), "nd-first-stars")
-    links = save(_confirmed(first, sets, n), "nd-links")
-    roots = save(connected_components(links), "nd-roots")
-    second = pairs.join(merged(first), ["id", "center"], "left_anti")
+    fits = (F.col("id") != F.col("center")) & (F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * 80)
+    stars = members.groupBy("id").agg(F.array_sort(F.collect_set(F.when(fits, F.col("center")))).alias("centers"), F.max("size").alias("size"))
+    stars = save(stars, "nd-stars")
+    wanted = text_columns(docs).join(merged(stars.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    sets = save(wanted.mapInArrow(_set_rows(shingle), _SETS), "nd-sets")
+    # Each member meets the smallest of all its centres first; the other centres only where that left a difference.
+    pairs = stars.where(F.size("centers") > 0)
+    links = save(_confirmed(pairs.select("id", F.col("centers")[0].alias("center"), "size"), sets, n), "nd-links")
+    roots = connected_components(links)
+    second = pairs.where(F.size("centers") > 1).select("id", "size", F.explode(F.expr("slice(centers, 2, size(centers))")).alias("center"))
     for key in ("id", "center"):
         named = roots.select(F.col("id").alias(key), F.col("root").alias(f"{key}_root"))
         second = second.join(merged(named), key, "left").withColumn(f"{key}_root", F.coalesce(f"{key}_root", key))
-    second = save(second.where("id_root <> center_root").select("center", "id"), "nd-second-stars")
-    if not second.isEmpty():
-        links = save(links.union(_confirmed(second, sets, n)), "nd-all-links")
-        roots = save(connected_components(links), "nd-all-roots")
-
-    # What is left: buckets of three or more (a pair was its star) in which components differ.
-    labelled = members.where("size > 2").join(merged(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    labelled = save(labelled, "nd-labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    heads = labelled.where("id = center").select("bucket", F.col("root").alias("main"))
-    mixed = save(mixed.join(merged(heads), "bucket").select("bucket", "main"), "nd-mixed")
-    rest = save(labelled.join(merged(mixed), "bucket").withColumn("far", F.col("root") == F.col("main")), "nd-rest")
-    counts = rest.groupBy("bucket").agg(F.sum(F.when(F.col("far"), 0).otherwise(1)).alias("n_near"), F.sum(F.when(F.col("far"), 1).otherwise(0)).alias("n_far"))
-    # Near rows meet near rows and far rows; a bucket with one near row beside its centre's component may still link.
-    counts = save(counts.where("n_near > 0"), "nd-counts")
-    if counts.isEmpty():
-        closed = roots
-    else:
-        rest = rest.join(merged(counts), "bucket")
-        near_parts, far_parts = F.ceil(F.col("n_near") / TILE_NEAR).cast("int"), F.ceil(F.col("n_far") / TILE_FAR).cast("int")
-        part = F.pmod(F.xxhash64("id"), F.when(F.col("far"), far_parts).otherwise(near_parts)).cast("int")
-        rest = rest.withColumn("part", part)
-        base = ["bucket", "band", "id", "root"]
-        near = rest.where("not far")
-        # tile_a is the near part; tile_b the far part, or -1 - part for a near part on the far side.
-        last = near_parts - 1
-        as_near = near.select(
-            *base,
-            F.lit(0).alias("side"),
-            F.col("part").alias("tile_a"),
-            F.explode(F.concat(F.when(F.col("n_far") > 0, F.sequence(F.lit(0), far_parts - 1)).otherwise(F.array().cast("array<int>")), F.transform(F.sequence(F.col("part"), last), lambda k: -1 - k))).alias("tile_b"),
-        )
-        as_far = near.select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("tile_a"), (-1 - F.col("part")).alias("tile_b"))
-        centre_side = rest.where("far").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), last)).alias("tile_a"), F.col("part").alias("tile_b"))
-        tiles = as_near.unionByName(as_far).unionByName(centre_side)
-        # Registers alone tell which rows of which tiles may have a link; only those get their full sets.
-        tiles = tiles.join(merged(registers), "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-        tiles = save(tiles.mapInArrow(_screen_tiles, _TILE), "nd-tiles")
-        closed = roots
-        if not tiles.isEmpty():
-            more = _with_sets(docs, tiles.select("id").distinct(), registers, "nd-more-sets")
-            tiles = tiles.join(merged(more), "id").repartition(n, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-            extra = save(tiles.mapInArrow(_confirm_tiles, _LINK), "nd-extra-links")
-            closed = save(connected_components(links.union(extra)), "nd-closed") if not extra.isEmpty() else roots
-
-    of_class = classes.join(merged(closed), "id", "left").withColumn("component_id", F.coalesce("root", "id"))
-    of_class = save(of_class.where("copies > 1 or component_id < id").select(*keys, "component_id"), "nd-of-class")
+    links = save(_confirmed(second.where("id_root <> center_root"), sets, n), "nd-second-links")
+    roots = connected_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links))
+
+    of_class = classes.select(*keys, "copies", "id").join(merged(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    more = _outsiders(members, classes, sets, roots, n)
+    if more is not None:
+        named = connected_components(more).select(F.col("id").alias("root"), F.col("root").alias("top"))
+        of_class = of_class.join(merged(named), "root", "left").withColumn("root", F.coalesce("top", "root"))
+    of_class = of_class.where("copies > 1 or root < id").select(*keys, "root")
+    component = F.coalesce("root", "doc_id")
     return found.select("doc_id", "n", *keys).join(merged(of_class), keys, "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; all columns as they were."""
-    names = components(docs).where("kept").select(F.col("doc_id").alias("__kept"))
+    names = components(docs, shingle).where("kept").select(F.col("doc_id").alias("__kept"))
     return docs.join(names.distinct(), docs["doc_id"] == F.col("__kept"), "left_semi")
 
 
-def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int, bool]]:
+def brute_force(texts: dict[int, str | None], shingle: int = SHINGLE) -> dict[int, tuple[int, int, bool]]:
     """The same result from all pairs of sets; for tests."""
-    sets = {d: set(s.tolist()) for d, s in zip(texts, shingle_sets([(t or "").encode() for t in texts.values()]), strict=True)}
+    sets = {d: set(s.tolist()) for d, s in zip(texts, shingle_sets([(t or "").encode() for t in texts.values()], shingle), strict=True)}
     root = {d: d for d in sets}
 
     def find(x: int) -> int:

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 2 << 20
 #: Bytes of input a reduce-side bucket should hold.
 BUCKET_BYTES = 8 << 20
+#: Size estimates from here on mean that the size isn't known.
+UNKNOWN_BYTES = 1 << 60
 
 _SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
@@ -82,10 +84,16 @@ atexit.register(sweep)
 
 
 def buckets(df: DataFrame, factor: float = 1.0) -> int:
-    """Reduce-side tasks for a frame, from the optimiser's size estimate; at least the session's setting."""
+    """Reduce-side tasks for a frame, from the optimiser's size estimate; at least the session's setting.
+
+    A frame that isn't read from files (local rows, an RDD) has no estimate but a placeholder beyond all
+    real sizes; it gets the session's setting.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size >= UNKNOWN_BYTES:
+        return least
     return max(least, min(200_000, int(size * factor / BUCKET_BYTES)))
 
 

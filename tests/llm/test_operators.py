@@ -198,27 +198,6 @@ def test_sketches_merge_and_estimate():
     assert abs(near_dups.estimate(one, two[None], 900, np.array([900]))[0] - 0.8) < 0.15
 
 
-def test_tiles_confirm_links():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([base[k * 10 :], rng.integers(0, 1 << 63, 10 * k, dtype=np.uint64)])) for k in range(6)]
-    registers = near_dups.sketch(sets)
-    shared = (registers[0] == registers).reshape(6, near_dups.BANDS, near_dups.ROWS).all(axis=2)
-    import pyarrow as pa
-
-    for k in (1, 2):
-        band = int(shared[k].argmax())
-        rows = [
-            {"bucket": 1, "tile_a": 0, "tile_b": 0, "side": s, "band": band, "id": i, "root": i, "n": len(sets[i]), "registers": registers[i].tobytes(), "elements": sets[i].tobytes()}
-            for s, i in ((0, 0), (1, k))
-        ]
-        batch = pa.RecordBatch.from_pylist(rows)
-        links = [x for b in near_dups._confirm_tiles(iter([batch])) for x in b.to_pylist()]
-        assert links == ([{"a": 0, "b": k}] if near_dups.linked(sets[0], sets[k]) else [])
-        screened = [x for b in near_dups._screen_tiles(iter([batch])) for x in b.to_pylist()]
-        assert len(screened) == 2
-
-
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400, k) for k in range(401, 500)] + [(600 + k, 601 + k) for k in range(50)]
@@ -233,8 +212,9 @@ def test_components(spark):
         p, q = sorted((find(a), find(b)))
         root[q] = p
     linked = {x for a, b in links if a != b for x in (a, b)}
-    found = {r.id: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {x: find(x) for x in linked}
+    for chunk in (10_000, 40):
+        found = {r.id: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), chunk=chunk).collect()}
+        assert found == {x: find(x) for x in linked}
 
 
 @pytest.mark.parametrize("shard", [400_000, 40])
