@@ -43,6 +43,7 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+JWT_PART = re.compile(rb"[A-Za-z0-9_-]+")
 PEM = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 KEYWORDS = {
     "password": "assign",
@@ -122,10 +123,15 @@ def spans(text: bytes) -> list[tuple[int, int, str]]:
         if start < past[kind]:
             continue
         pattern, holds = RULES[kind]
-        if match := pattern.match(text, start):
+        match = pattern.match(text, start)
+        if match and holds(match):
+            past[kind] = match.end()
+            found.append((start, match.end(), kind))
+        elif kind == "jwt":
+            # What follows the run of characters decides; a later start in the same run would fail as well.
+            past[kind] = JWT_PART.match(text, start).end()
+        elif match:
             past[kind] = match.end()
-            if holds(match):
-                found.append((start, match.end(), kind))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
