@@ -3,7 +3,8 @@
 Words are runs of letters and digits (everything beyond ASCII included), A-Z in lower case.  A window is
 ``WINDOW`` consecutive words of an item; a shorter item that has words is one window.  The automaton of all
 items is built on the driver from at most ``SHARD_WORDS`` words and broadcast; a larger benchmark gets several
-automata, each streamed over the documents in a pass of its own, so that what is broadcast stays bounded.
+automata, built and streamed over the documents one after the other, each in a pass of its own whose rows are
+written, so that what is broadcast and held stays bounded.  Results don't depend on how items are dealt.
 
 Documents stream through the automaton, which tracks the longest match that ends at each word.  As a match
 of two or more words needs each pair of neighbours to occur in the benchmark, runs of such pairs are found
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import arrow_schema, chunks, settle, text_columns
+from tessera.llm.shared import arrow_schema, chunks, save, settle, text_columns
 from tessera.llm.words import ALPHANUMERIC, U64, Words
 
 WINDOW = 10
@@ -181,53 +182,53 @@ def automata(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHAR
     yield Automaton(items, window)
 
 
+_FOUND, _FOUND_ARROW = arrow_schema("doc_id long, text string, starts longs, ends longs, items longs")
 _HITS, _HITS_ARROW = arrow_schema("doc_id long, n_words long, starts longs, ends longs, items longs")
 
 
-def _pass(docs: DataFrame, shared) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            block = Words(batch.column("text").cast(pa.binary()).to_pylist(), ALPHANUMERIC, lower=True)
-            hit, found = shared.value.hits(block)
-            starts, ends, items = [[] for _ in block.counts], [[] for _ in block.counts], [[] for _ in block.counts]
-            for d, ids in found.items():
-                a, b = block.first[d], block.first[d + 1]
-                edges = np.diff(hit[a:b].astype(np.int8), prepend=0, append=0)
-                starts[d], ends[d] = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
-                items[d] = sorted(ids)
-            columns = [batch.column("doc_id"), pa.array(block.counts, pa.int64())]
-            columns += [pa.array(x, pa.list_(pa.int64())) for x in (starts, ends, items)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_HITS_ARROW)
-
-    return text_columns(docs).mapInArrow(run, _HITS)
-
-
-def _merge_spans(starts: list[list[int]], ends: list[list[int]]) -> tuple[list[int], list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(pair for s, e in zip(starts, ends, strict=True) for pair in zip(s, e, strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [x[0] for x in out], [x[1] for x in out]
+def _hits_of(batch: pa.RecordBatch, machine: Automaton) -> pa.RecordBatch:
+    """One row a document, with what earlier automata have found and what this one does."""
+    block = Words(batch.column("text").cast(pa.binary()).to_pylist(), ALPHANUMERIC, lower=True)
+    columns = [batch.column(c).to_pylist() if c in batch.schema.names else [[] for _ in block.counts] for c in ("starts", "ends", "items")]
+    hit, found = machine.hits(block)
+    for d, ids in found.items():
+        own = hit[block.first[d] : block.first[d + 1]]
+        for x, y in zip(columns[0][d], columns[1][d], strict=True):
+            own[x:y] = True
+        begins, ends = _edges(own)
+        columns[0][d], columns[1][d], columns[2][d] = begins.tolist(), ends.tolist(), sorted(ids.union(columns[2][d]))
+    lists = [pa.array(x, pa.list_(pa.int64())) for x in columns]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(block.counts, pa.int64()), *lists], schema=_HITS_ARROW)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, early: Callable, late: Callable) -> DataFrame:
+    """All automata over the rows, one after the other: ``early`` makes the step of each but the last, ``late`` of that.
+
+    Rows are written between automata, so that no worker holds two and the driver builds one at a time.
+    """
+    context, rows, waiting = settle(docs.sparkSession).sparkContext, docs, None
+    for machine in automata(benchmark, window, shard_words):
+        if waiting is not None:
+            rows = save(early(rows, waiting), "benchmark-pass")
+            waiting.unpersist()
+        waiting = context.broadcast(machine)
+    return late(rows, waiting)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, the hit spans (word indexes starts and ends) and the items found, of every document."""
-    context = settle(docs.sparkSession).sparkContext
-    passes = [_pass(docs, context.broadcast(machine)) for machine in automata(benchmark, window, shard_words)]
-    if len(passes) == 1:
-        return passes[0]
-    rows = passes[0]
-    for other in passes[1:]:
-        rows = rows.unionByName(other.where(F.size("items") > 0))
-    merge = F.udf(lambda s, e: _merge_spans(s, e), "struct<starts: array<long>, ends: array<long>>")
-    merged = rows.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        merge(F.collect_list("starts"), F.collect_list("ends")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    """doc_id, n_words, the hit spans (word indexes starts and ends) and the items found, of every row of ``docs``."""
+
+    def run(shared, schema: pa.Schema):
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "text"):
+                found = _hits_of(batch, shared.value)
+                yield found if schema is _HITS_ARROW else pa.RecordBatch.from_arrays([batch.column("text") if f.name == "text" else found.column(f.name) for f in schema], schema=schema)
+
+        return step
+
+    return _passes(
+        text_columns(docs), benchmark, window, shard_words, lambda rows, m: rows.mapInArrow(run(m, _FOUND_ARROW), _FOUND), lambda rows, m: rows.mapInArrow(run(m, _HITS_ARROW), _HITS)
     )
-    return merged.select("doc_id", "n_words", "spans.starts", "spans.ends", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -268,7 +269,6 @@ def clean(
     text and hand their spans on with the rows; the last one's pass cuts and judges, once, so the result doesn't depend on
     how items are dealt.
     """
-    context = settle(docs.sparkSession).sparkContext
     place, width = docs.columns.index("text"), len(docs.columns)
     name = "hits"
     while name in {c.lower() for c in docs.columns}:
@@ -322,8 +322,5 @@ def clean(
 
         return run
 
-    machines = [context.broadcast(machine) for machine in automata(benchmark, shard_words=shard_words)]
-    marked, rows = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]), docs
-    for shared in machines[:-1]:
-        rows = rows.mapInArrow(mark(shared), marked)
-    return rows.mapInArrow(cut(machines[-1]), docs.schema)
+    marked = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+    return _passes(docs, benchmark, WINDOW, shard_words, lambda rows, m: rows.mapInArrow(mark(m), marked), lambda rows, m: rows.mapInArrow(cut(m), docs.schema))

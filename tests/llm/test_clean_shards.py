@@ -28,3 +28,13 @@ def test_shards_and_order_do_not_matter(spark):
             found = out.collect()
             assert len(found) == 4 and {r.doc_id: r.text for r in found} == texts
             assert all(r.n_chars == (7 if r.text is None else len(r.text)) for r in found)
+
+
+def test_hits_are_per_row_whatever_the_shards(spark):
+    rows = [(2, " ".join(W[0:20])), (2, REST), (2, f"x {' '.join(W[30:54])}"), (3, None), (2, " ".join(W[0:20]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*OVERLAP, *HALVES], "item_id long, text string").coalesce(1)
+    want = sorted([(2, 20, [0], [20], [1, 2]), (2, 40, [], [], []), (2, 25, [1], [25], [3, 4]), (3, 0, [], [], []), (2, 20, [0], [20], [1, 2])])
+    for shard in (400_000, 12):
+        found = decontaminate.find_hits(docs, bench, shard_words=shard)
+        assert sorted(tuple(r) for r in found.collect()) == want
