@@ -14,9 +14,9 @@ each multiple of 7 in every document; every window of 13 words holds one whole b
    Neighbouring repeated windows join to maximal repeats.
 3. *Remove.*  Each document meets its own list of repeated windows.
 
-Null and empty texts have no words; a document of fewer than 13 words is never touched; rows that repeat a
-doc_id count as one document's texts and are each judged against smaller ids; other columns are ignored;
-an empty table gives an empty result.  Texts must come from a source that reads the same rows again in the same order
+Null and empty texts have no words; a document of fewer than 13 words is never touched.  Rows that repeat a doc_id count
+as one document's texts: each row, told from the others by its text's hash, is judged against smaller ids and gives one
+row.  Other columns are ignored; an empty table gives an empty result.  Texts must come from a source that reads the same rows again in the same order
 when a task is repeated, as files do.
 """
 
@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.llm.shared import arrow_schema, buckets, chunks, save, text_columns
+from tessera.llm.shared import arrow_schema, buckets, chunks, merged, save, text_columns
 from tessera.llm.words import NOT_SPACE, U64, Words, mix
 
 WINDOW = 13
@@ -38,12 +39,12 @@ BLOCK = (WINDOW + 1) // 2
 #: Words of a task's texts that one row of entries can address.
 SPAN = 1 << 23
 
-_ENTRY, _ENTRY_ARROW = arrow_schema("bucket long, chunk long, base long, kind int, payload binary, ids longs, firsts longs")
-_REPLY, _REPLY_ARROW = arrow_schema("chunk long, base long, kind int, payload binary, ids longs, firsts longs")
-_FLAGS, _FLAGS_ARROW = arrow_schema("doc_id long, flags binary")
-_FULL, _FULL_ARROW = arrow_schema("bucket long, ids longs, counts longs, high binary, low binary, places binary, repeats binary")
-_START, _START_ARROW = arrow_schema("doc_id long, starts binary")
-_BLOCK_ROWS, _BLOCK_ARROW = arrow_schema("block long, ids longs, counts longs, starts binary")
+_ENTRY, _ENTRY_ARROW = arrow_schema("bucket long, chunk long, base long, kind int, payload binary, ids longs, parts longs, firsts longs")
+_REPLY, _REPLY_ARROW = arrow_schema("chunk long, base long, kind int, payload binary, ids longs, parts longs, firsts longs")
+_FLAGS, _FLAGS_ARROW = arrow_schema("doc_id long, part long, flags binary")
+_FULL, _FULL_ARROW = arrow_schema("bucket long, ids longs, parts longs, counts longs, high binary, low binary, places binary, repeats binary")
+_START, _START_ARROW = arrow_schema("doc_id long, part long, starts binary")
+_BLOCK_ROWS, _BLOCK_ARROW = arrow_schema("block long, ids longs, parts longs, counts longs, starts binary")
 _RESULT, _RESULT_ARROW = arrow_schema("doc_id long, n_words long, n_removed long, kept_sha256 string")
 #: Kinds of rows in the first exchange.
 ENTRIES, PLACES, DOCUMENTS = 0, 1, 2
@@ -64,6 +65,25 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
+def _repeat(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The doc_id and part of each window that rows list by counts."""
+    counts = np.array([c for r in rows for c in r["counts"]], dtype=np.int64)
+    return tuple(np.repeat(np.array([i for r in rows for i in r[name]], dtype=np.int64), counts) for name in ("ids", "parts"))
+
+
+def _texts(doc: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The first index of each run of equal doc_id and part."""
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
+    return np.flatnonzero(fresh)
+
+
+def _parted(docs: DataFrame) -> DataFrame:
+    """The key, the text's hash and the text."""
+    texts = text_columns(docs)
+    return texts.select("doc_id", F.xxhash64("text").alias("part"), "text")
+
+
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal values of a sorted array."""
     first, _ = _groups(keys)
@@ -103,12 +123,12 @@ def _probe(n: int):
                 mine = (at[first] >= base) & (at[first] < base + SPAN)
                 entry = ((hashes[first] & U64((1 << 40) - 1)) << U64(24)) | ((at[first] - base).astype(U64) << U64(1)) | anchored.astype(U64)
                 entry, own = entry[mine], bucket[mine]
-                out += [(b, chunk, base, ENTRIES, entry[s].tobytes(), [], []) for b, s in _slices(own)]
+                out += [(b, chunk, base, ENTRIES, entry[s].tobytes(), [], [], []) for b, s in _slices(own)]
             settled = np.sort(at[shared[run_of]])
             home = chunk % n
             if len(settled):
-                out.append((home, chunk, 0, PLACES, settled.astype(np.int64).tobytes(), [], []))
-            out.append((home, chunk, 0, DOCUMENTS, b"", ids.tolist(), block.first.tolist()))
+                out.append((home, chunk, 0, PLACES, settled.astype(np.int64).tobytes(), [], [], []))
+            out.append((home, chunk, 0, DOCUMENTS, b"", ids.tolist(), batch.column("part").to_pylist(), block.first.tolist()))
             yield _rows(_ENTRY_ARROW, out)
 
     return run
@@ -130,7 +150,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket: the places of the hashes that have an anchor and stand in two tasks' texts."""
     for _, rows in _grouped(batches, "bucket"):
-        out = [(r["chunk"], r["base"], r["kind"], r["payload"], r["ids"], r["firsts"]) for r in rows if r["kind"] != ENTRIES]
+        out = [(r["chunk"], r["base"], r["kind"], r["payload"], r["ids"], r["parts"], r["firsts"]) for r in rows if r["kind"] != ENTRIES]
         rows = [r for r in rows if r["kind"] == ENTRIES]
         if len(rows) > 1:
             entries = np.frombuffer(b"".join(r["payload"] for r in rows), dtype=U64)
@@ -145,7 +165,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(source, kind="stable")
             source, places = source[order], places[order]
             if len(source):
-                out += [(rows[k]["chunk"], rows[k]["base"], PLACES, (places[s] + rows[k]["base"]).tobytes(), [], []) for k, s in _slices(source)]
+                out += [(rows[k]["chunk"], rows[k]["base"], PLACES, (places[s] + rows[k]["base"]).tobytes(), [], [], []) for k, s in _slices(source)]
         if out:
             yield _rows(_REPLY_ARROW, out)
 
@@ -164,23 +184,41 @@ def _to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             size = int(first[d + 1] - first[d])
             flags = np.zeros(size, dtype=bool)
             flags[places[s] - first[d]] = True
-            out.append((table["ids"][d], size.to_bytes(8, "little") + np.packbits(flags).tobytes()))
+            out.append((table["ids"][d], table["parts"][d], size.to_bytes(8, "little") + np.packbits(flags).tobytes()))
         yield _rows(_FLAGS_ARROW, out)
 
 
+def _merge_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text, from what its copies in several tasks were told; rows are sorted by doc_id and part."""
+    key, flags = None, b""
+    for batch in batches:
+        out = []
+        for doc, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key == (doc, part):
+                both = np.frombuffer(flags, dtype=np.uint8, offset=8) | np.frombuffer(data, dtype=np.uint8, offset=8)
+                flags = flags[:8] + both.tobytes()
+                continue
+            if key is not None:
+                out.append((*key, flags))
+            key, flags = (doc, part), data
+        if out:
+            yield _rows(_FLAGS_ARROW, out)
+    if key is not None:
+        yield _rows(_FLAGS_ARROW, [(*key, flags)])
+
+
 def _extend(n: int):
     """Full windows around hits: one row for each bucket, with what could be settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             batch = _by_id(batch)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "part"))
             block = Words(batch.column("text").cast(pa.binary()).to_pylist(), NOT_SPACE, lower=False)
             near = np.zeros(len(block) + WINDOW, dtype=bool)
             for d, data in enumerate(batch.column("flags").to_pylist()):
-                a, size = block.first[d], int.from_bytes(data[:8], "little")
-                if size == block.counts[d]:  # else another row of the same doc_id
-                    near[a : a + size] |= np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=8), count=size).astype(bool)
+                a, size = block.first[d], block.counts[d]
+                near[a : a + size] |= np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=8), count=size).astype(bool)
             # A document told one place of each hash; its other places of that hash are hits as well.
             short = block.rolling(BLOCK)
             near[: len(block)] = np.isin(short, np.unique(short[near[: len(block)]])) & block.valid(BLOCK)
@@ -209,8 +247,8 @@ def _extend(n: int):
                 k, r = np.flatnonzero(keep[s]) + s.start, np.flatnonzero(later[s]) + s.start
                 k = k[np.argsort(at[k], kind="stable")]
                 owners, counts = np.unique(doc[k], return_counts=True)
-                repeats = np.stack([ids[doc[r]], place[r]]).astype(np.int64) if len(r) else np.zeros((2, 0), dtype=np.int64)
-                out.append((b, ids[owners].tolist(), counts.tolist(), high[k].tobytes(), low[k].tobytes(), place[k].astype(np.uint32).tobytes(), repeats.tobytes()))
+                repeats = np.stack([ids[doc[r]], parts[doc[r]], place[r]]).astype(np.int64)
+                out.append((b, ids[owners].tolist(), parts[owners].tolist(), counts.tolist(), high[k].tobytes(), low[k].tobytes(), place[k].astype(np.uint32).tobytes(), repeats.tobytes()))
             yield _rows(_FULL_ARROW, out)
 
     return run
@@ -219,31 +257,31 @@ def _extend(n: int):
 def _repeated(n: int):
     """The windows whose words start in a smaller document too: one row for each block of documents."""
 
-    def later(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    def later(rows: list[dict]) -> list[np.ndarray]:
         high = np.frombuffer(b"".join(r["high"] for r in rows), dtype=U64)
         low = np.frombuffer(b"".join(r["low"] for r in rows), dtype=np.uint32)
         place = np.frombuffer(b"".join(r["places"] for r in rows), dtype=np.uint32).astype(np.int64)
-        doc = np.repeat(np.array([i for r in rows for i in r["ids"]], dtype=np.int64), np.array([c for r in rows for c in r["counts"]], dtype=np.int64))
+        doc, part = _repeat(rows)
         order = np.lexsort((doc, low, high))
-        high, low, place, doc = high[order], low[order], place[order], doc[order]
+        high, low, place, doc, part = high[order], low[order], place[order], doc[order], part[order]
         fresh = np.ones(len(high), dtype=bool)
         fresh[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         found = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(doc) else np.zeros(0, dtype=bool)
-        settled = np.concatenate([np.frombuffer(r["repeats"], dtype=np.int64).reshape(2, -1) for r in rows], axis=1)
-        return np.concatenate([doc[found], settled[0]]), np.concatenate([place[found], settled[1]])
+        settled = np.concatenate([np.frombuffer(r["repeats"], dtype=np.int64).reshape(3, -1) for r in rows], axis=1)
+        return [np.concatenate([x[found], y]) for x, y in zip((doc, part, place), settled, strict=True)]
 
-    def rows_of(waiting: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        doc, place = (np.concatenate(x) for x in zip(*waiting, strict=True))
+    def rows_of(waiting: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc, part, place = (np.concatenate(x) for x in zip(*waiting, strict=True))
         if not len(doc):
             return
         block = (mix(doc) % U64(n)).astype(np.int64)
-        order = np.lexsort((place, doc, block))
-        doc, place, block = doc[order], place[order], block[order]
+        order = np.lexsort((place, part, doc, block))
+        doc, part, place, block = doc[order], part[order], place[order], block[order]
         out = []
         for b, s in _slices(block):
-            first, _ = _groups(doc[s])
+            first = _texts(doc[s], part[s])
             counts = np.diff(np.append(first, len(doc[s])))
-            out.append((b, doc[s][first].tolist(), counts.tolist(), place[s].astype(np.uint32).tobytes()))
+            out.append((b, doc[s][first].tolist(), part[s][first].tolist(), counts.tolist(), place[s].astype(np.uint32).tobytes()))
         yield _rows(_BLOCK_ARROW, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,30 +301,34 @@ def _repeated(n: int):
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All repeated windows of each document of a block."""
     for _, rows in _grouped(batches, "block"):
-        doc = np.repeat(np.array([i for r in rows for i in r["ids"]], dtype=np.int64), np.array([c for r in rows for c in r["counts"]], dtype=np.int64))
+        doc, part = _repeat(rows)
         place = np.frombuffer(b"".join(r["starts"] for r in rows), dtype=np.uint32)
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order]
-        yield _rows(_START_ARROW, [(d, place[s].tobytes()) for d, s in _slices(doc)])
+        order = np.lexsort((part, doc))
+        doc, part, place = doc[order], part[order], place[order]
+        first = _texts(doc, part)
+        cuts = zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True)
+        yield _rows(_START_ARROW, [(int(doc[a]), int(part[a]), np.unique(place[a:b]).tobytes()) for a, b in cuts])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id and starts (binary, unsigned 32-bit word indexes): the windows that repeat a smaller document's."""
+    """doc_id, part and starts (unsigned 32-bit word indexes) of each text: the windows that repeat a smaller document's."""
     n = buckets(docs)
-    texts = text_columns(docs)
+    texts = _parted(docs)
     dealt = texts.mapInArrow(_probe(4 * n), _ENTRY).repartition(n, "bucket").sortWithinPartitions("bucket")
     replies = dealt.mapInArrow(_answer, _REPLY).repartition(n, "chunk").sortWithinPartitions("chunk")
-    flags = save(replies.mapInArrow(_to_documents, _FLAGS), "anchor-hits")
-    full = texts.join(flags, "doc_id").mapInArrow(_extend(4 * n), _FULL).repartition(n, "bucket").sortWithinPartitions("bucket")
+    told = replies.mapInArrow(_to_documents, _FLAGS).repartition(n, "doc_id").sortWithinPartitions("doc_id", "part")
+    flags = save(told.mapInArrow(_merge_flags, _FLAGS), "anchor-hits")
+    full = texts.join(merged(flags), ["doc_id", "part"]).mapInArrow(_extend(4 * n), _FULL).repartition(n, "bucket").sortWithinPartitions("bucket")
     blocks = full.mapInArrow(_repeated(n), _BLOCK_ROWS).repartition(n, "block").sortWithinPartitions("block")
     return save(blocks.mapInArrow(_by_document, _START), "anchor-repeats")
 
 
 def _cover(size: int, starts: bytes) -> np.ndarray:
     places = np.frombuffer(starts, dtype=np.uint32).astype(np.int64)
+    places = places[places + WINDOW <= size]
     edge = np.zeros(size + 1, dtype=np.int64)
     np.add.at(edge, places, 1)
-    np.add.at(edge, np.minimum(places + WINDOW, size), -1)
+    np.add.at(edge, places + WINDOW, -1)
     return np.cumsum(edge[:size]) > 0
 
 
@@ -310,7 +352,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 out.append((doc, size, size - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield _rows(_RESULT_ARROW, out)
 
-    return text_columns(docs).join(repeated_windows(docs), "doc_id", "left").mapInArrow(run, _RESULT)
+    return _parted(docs).join(merged(repeated_windows(docs)), ["doc_id", "part"], "left").mapInArrow(run, _RESULT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -322,22 +364,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True)
             yield _rows(arrow, [(doc, b" ".join(remaining_words(text.encode(), starts)[1]).decode()) for doc, text, starts in rows])
 
-    return text_columns(docs).join(repeated_windows(docs), "doc_id", "left").mapInArrow(run, schema)
+    return _parted(docs).join(merged(repeated_windows(docs)), ["doc_id", "part"], "left").mapInArrow(run, schema)
 
 
-def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int, str]]:
-    """The same result by a dictionary of all windows; for tests."""
+def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, str]]:
+    """The same rows by a dictionary of all windows; for tests."""
     first: dict[tuple[bytes, ...], int] = {}
-    words = {d: (t or "").encode().split() for d, t in texts.items()}
-    for d in sorted(words):
-        for k in range(len(words[d]) - WINDOW + 1):
-            first.setdefault(tuple(words[d][k : k + WINDOW]), d)
-    out = {}
-    for d, w in words.items():
+    words = [(d, (t or "").encode().split()) for d, t in rows]
+    for d, w in sorted(words, key=lambda x: x[0]):
+        for k in range(len(w) - WINDOW + 1):
+            first.setdefault(tuple(w[k : k + WINDOW]), d)
+    out = []
+    for d, w in words:
         gone = [False] * len(w)
         for k in range(len(w) - WINDOW + 1):
             if first[tuple(w[k : k + WINDOW])] < d:
                 gone[k : k + WINDOW] = [True] * WINDOW
         kept = [x for x, g in zip(w, gone, strict=True) if not g]
-        out[d] = (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
+        out.append((d, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return out
