@@ -9,6 +9,7 @@ tasks it was running.  The folder of each run is removed when the driver ends, o
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,9 +42,11 @@ def settle(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` where set, else (tests, a laptop) a temporary one."""
+    """The shared folder: ``spark.checkpoint.dir`` where set, else, on one machine only, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
         _folders.append((spark, root))
