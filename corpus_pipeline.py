@@ -15,6 +15,12 @@ from tessera.llm import decontaminate, near_dups, packing, pii, quality
 from tessera.llm.shared import save, settle, table
 
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+#: The key of the pseudonyms where the session sets none; it is public and protects nothing.
+DEMO_KEY = "demonstration only"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more; the model is trained on the labels of the data folder."""
     settle(spark)
@@ -23,9 +29,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles): that of the smallest doc_id."""
     settle(spark)
-    return near_dups.keep_one(docs)
+    return near_dups.keep_one(docs, SHINGLE)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data under pseudonyms; ``n_chars`` follows the text."""
     settle(spark)
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, key=spark.conf.get(pii.KEY_SETTING, DEMO_KEY))
     if "n_chars" not in docs.columns:
         return out
     size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
