@@ -6,9 +6,16 @@ valid value of its kind, equal values get equal pseudonyms in all documents, and
 invert them.  Separators, brackets and lengths stay as they were.
 
 Kinds and what validates them: ``card`` (13 to 19 digits, Luhn), ``iban`` (mod 97), ``ssn`` (assigned
-ranges), ``date`` (a day of the calendar, 1900 to 2099), ``ip`` (four octets), ``phone`` (international or
-bracketed forms) and ``email`` (letters and digits of local part and host name are permuted in their
-class; the top-level domain stays).  What fails its validation is left alone.
+ranges), ``date`` (a day of the calendar, 1900 to 2099; NN/NN/NNNN is day-first, or month-first where only that is
+a date), ``ip`` (four octets), ``phone`` (international, bracketed and ten-digit forms) and ``email`` (letters
+and digits of local part and host name are permuted in their class, those beyond ASCII within the letters of
+their block of 256 signs; the top-level domain stays).  What fails its validation is left alone.
+
+Values are compared in a canonical form: numbers by their digits alone (ten digits are those after +1), addresses without
+regard to ASCII case (the pseudonym takes over the case of each place), dates in any notation.  A date after the 12th of a month
+stays one, so that month-first notations can be told by their pseudonyms.
+
+The key is the caller's (``key`` or the setting ``spark.tessera.pii.key``); there is no default.
 
 Null texts stay null; empty texts, repeated rows and very long texts need nothing special; every column of
 the input is kept as it is, whatever its name, and only the text changes.  An empty table stays empty.
@@ -20,7 +27,9 @@ import datetime
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,18 +39,18 @@ from pyspark.sql import types as T
 from tessera.llm.shared import chunks, settle
 
 ROUNDS = 8
-#: The session setting that holds the key; the default serves tests and is no secret.
-KEY_SETTING, DEFAULT_KEY = "spark.tessera.pii.key", "tessera"
+#: The session setting that holds the key.
+KEY_SETTING = "spark.tessera.pii.key"
 
 # The patterns of the kinds.
 PATTERN = re.compile(
     r"(?P<email>(?<![^\s@<>()\[\],;:\"|=])[^\s@<>()\[\],;:\"|=]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9@]))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\7\d{4}\7\d{1,7}|\d{4}([ -])\d{6}\8\d{5})(?![\w-]))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\10\d{4})(?!\w))"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
+    r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9][0-9]:)|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<card>(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\7[0-9]{4}\7[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\8[0-9]{5})(?![\w-]))"
+    r"|(?P<phone>(?<!\w)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\10[0-9]{4})(?!\w))"
 )
 _HINT = re.compile(r"@|\d[\d ().:/-]{5}")
 _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -93,25 +102,17 @@ def mod97(iban: str) -> int:
 def _refill(shape: str, signs: str) -> str:
     """Put letters and digits into the places that letters and digits have in ``shape``."""
     rest = iter(signs)
-    return "".join(next(rest) if c.isascii() and c.isalnum() else c for c in shape)
-
+    return "".join(next(rest) if c.isalnum() else c for c in shape)
 
-def _classes(signs: str) -> tuple[int, list[int]]:
-    """Rank and radices of a string of ASCII letters and digits, each within its class."""
-    rank, radices = 0, []
-    for c in signs:
-        base = 10 if c.isdigit() else 26
-        rank = rank * base + (int(c) if base == 10 else ord(c.lower()) - 97)
-        radices.append(base)
-    return rank, radices
 
-
-def _from_classes(rank: int, shape: str, radices: list[int]) -> str:
-    out = []
-    for c, base in zip(reversed(shape), reversed(radices), strict=True):
-        rank, digit = divmod(rank, base)
-        out.append(str(digit) if base == 10 else chr(digit + (65 if c.isupper() else 97)))
-    return "".join(reversed(out))
+@lru_cache(maxsize=4096)
+def _alphabet(sign: str) -> tuple[str, str]:
+    """The name and the signs of a letter's or digit's class."""
+    if sign.isascii():
+        return ("d", string.digits) if sign.isdigit() else ("l", string.ascii_lowercase)
+    block, kind = ord(sign) & ~255, (sign.isalpha(), sign.isupper())
+    signs = (chr(k) for k in range(max(block, 128), block + 256))
+    return f"{block:x}{kind[0]:d}{kind[1]:d}", "".join(c for c in signs if c.isalnum() and (c.isalpha(), c.isupper()) == kind)
 
 
 class Pseudonyms:
@@ -129,9 +130,16 @@ class Pseudonyms:
         return cipher(rank, back)
 
     def _signs(self, label: str, signs: str, back: bool) -> str:
-        rank, radices = _classes(signs)
-        kinds = "".join("d" if r == 10 else "U" if c.isupper() else "l" for c, r in zip(signs, radices, strict=True))
-        return _from_classes(self._permute(f"{label}/{kinds}", math.prod(radices), rank, back), signs, radices)
+        """Letters and digits, each within its class; ASCII letters without regard to case, which stays where it is."""
+        classes, rank = [_alphabet(c) for c in signs], 0
+        for c, (_, alphabet) in zip(signs, classes, strict=True):
+            rank = rank * len(alphabet) + alphabet.index(c.lower() if c.isascii() else c)
+        size = math.prod(len(alphabet) for _, alphabet in classes)
+        rank, out = self._permute(f"{label}/{','.join(name for name, _ in classes)}", size, rank, back), []
+        for c, (_, alphabet) in zip(reversed(signs), reversed(classes), strict=True):
+            rank, place = divmod(rank, len(alphabet))
+            out.append(alphabet[place].upper() if c.isascii() and c.isupper() else alphabet[place])
+        return "".join(reversed(out))
 
     def card(self, value: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", value)
@@ -164,26 +172,36 @@ class Pseudonyms:
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def date(self, value: str, back: bool) -> str | None:
-        form = "%Y-%m-%d" if value[4] == "-" else f"%d{value[2]}%m{value[2]}%Y"
-        try:
-            day = datetime.datetime.strptime(value, form).date().toordinal() - _FIRST
-        except ValueError:
-            return None
-        if not 0 <= day < _DAYS:
-            return None
-        return datetime.date.fromordinal(_FIRST + self._permute("date", _DAYS, day, back)).strftime(form)
+        forms = ["{0:04d}-{1:02d}-{2:02d}"] if value[4] == "-" else [f"{{2:02d}}{value[2]}{{1:02d}}{value[2]}{{0:04d}}"]
+        if value[2] == "/":
+            forms.append("{1:02d}/{2:02d}/{0:04d}")
+        parts = [int(x) for x in re.split(r"[-/.]", value)]
+        for form, (year, month, day) in zip(forms, [parts if value[4] == "-" else parts[::-1], [parts[2], *parts[:2]]], strict=False):
+            try:
+                rank = datetime.date(year, month, day).toordinal() - _FIRST
+            except ValueError:
+                continue
+            if not 0 <= rank < _DAYS:
+                return None
+            while True:
+                rank = self._permute("date", _DAYS, rank, back)
+                found = datetime.date.fromordinal(_FIRST + rank)
+                if (found.day > 12) == (day > 12):
+                    return form.format(found.year, found.month, found.day)
+        return None
 
     def phone(self, value: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", value)
         if not 8 <= len(digits) <= 15:
             return None
-        lead = len(re.match(r"\+?(\d*)", value)[1]) if value[0] == "+" and not value[1:].isdigit() else 0
-        return _refill(value, digits[:lead] + self._signs(f"phone/{digits[:lead]}", digits[lead:], back))
+        # The first digit of an international number stays, which tells the world zone; ten digits are those of zone 1.
+        lead = digits[:1] if value[0] == "+" else ""
+        return _refill(value, lead + self._signs(f"phone/{lead or 1}", digits[len(lead) :], back))
 
     def email(self, value: str, back: bool) -> str | None:
         name, _, host = value.rpartition("@")
         labels, _, top = host.rpartition(".")
-        signs = "".join(c for c in name if c.isascii() and c.isalnum())
+        signs = "".join(c for c in name if c.isalnum())
         rest = "".join(c for c in labels if c.isalnum())
         if not signs and not rest:
             return None
@@ -210,7 +228,10 @@ def pseudonymise(docs: DataFrame, column: str = "text", counts: str | None = Non
     ``back=True`` restores the original values under the same key.
     """
     spark = settle(docs.sparkSession)
-    secret = (key or spark.conf.get(KEY_SETTING, DEFAULT_KEY)).encode()
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: an argument or the setting {KEY_SETTING}")
+    secret = key.encode()
     numbers = [T.StructField(counts, T.LongType())] if counts else []
     place = docs.columns.index(column)
 
@@ -229,6 +250,6 @@ def pseudonymise(docs: DataFrame, column: str = "text", counts: str | None = Non
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *numbers]))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, the rewritten text and the number of values replaced."""
-    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), counts="n_replaced")
+    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), counts="n_replaced", key=key)

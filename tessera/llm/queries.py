@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, html_text, media, near_dups, packing, pii, quality, secrets, substrings, warc
 from tessera.llm.oracle import SQL
-from tessera.llm.shared import table
+from tessera.llm.shared import save, table
+
+#: The key of op3 where the session sets none; it is public and protects nothing.
+DEMO_KEY = "demonstration only"
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +19,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode(media.encode(table(spark, sf_dir, "documents")))
+    return media.decode(save(media.encode(table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), key=spark.conf.get(pii.KEY_SETTING, DEMO_KEY))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

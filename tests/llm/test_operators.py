@@ -129,7 +129,9 @@ def test_pii(spark):
         (7, "nothing at all " * 5000),
     ]
     df = frame(spark, rows)
-    out = pii.pseudonymise(df, counts="n_replaced")
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(df)
+    out = pii.pseudonymise(df, counts="n_replaced", key="k")
     assert out.columns == [*df.columns, "n_replaced"]
     found = collect(out)
     assert [found[k].n_replaced for k in range(1, 8)] == [3, 4, 2, 0, 0, 1, 0]
@@ -141,7 +143,7 @@ def test_pii(spark):
     assert x == "-".join(reversed(y.split("/")))
     assert texts[3].endswith("no card 4012888888881882, no date 2001-02-30, no ip 300.1.1.1") and pii.mod97(texts[3][:27].replace(" ", "")) == 1
     assert texts[4] is None and texts[5] == "" and texts[7] == rows[6][1]
-    assert {r.doc_id: r.text for r in pii.pseudonymise(out.drop("n_replaced"), back=True).collect()} == dict(rows)
+    assert {r.doc_id: r.text for r in pii.pseudonymise(out.drop("n_replaced"), key="k", back=True).collect()} == dict(rows)
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 10, 1000])
