@@ -13,7 +13,8 @@ body (included) to the core is a part of a split article and is kept.
 
 A class or id that names an ad, a sidebar, comments and so on is a hint only: it cuts a node of little or link-heavy
 text, and lowers the densities inside a longer one.  It says nothing about a node that holds most of the page's text,
-about headers within an article, or about inline markup of a paragraph.  Link lists inside the article are not kept.
+about headers within an article, or about inline markup of a paragraph.  Blocks of links are not kept, but lists and tables
+of an ``article`` or ``main`` are.
 
 Character references are decoded, white space within a block becomes one space, and blocks are joined
 in page order by one space.  Null and empty pages, and pages without text, give an empty text.  Repeated
@@ -22,6 +23,7 @@ pages give equal texts; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -41,6 +43,8 @@ PARAGRAPH = 80
 # Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg select annotation annotation-xml".split())
+#: Of these, elements whose end a page may lack: without it, only the tag itself goes.
+OPEN_ENDED = frozenset("noscript template svg select annotation annotation-xml".split())
 DROPPED = frozenset("nav footer aside form dialog menu button".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
@@ -97,11 +101,10 @@ def _hidden(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def _hint(tag: str, attributes: str, names: list[str]) -> int:
-    """What class and id say of an element within the open elements ``names``."""
-    if not attributes or tag in ("html", "body", "article", "main") or tag in INLINE and "p" in names:
+def _hint(tag: str, attributes: str, within: bool, in_paragraph: bool) -> int:
+    """What class and id say of an element, which may be within an article or a paragraph."""
+    if not attributes or tag in ("html", "body", "article", "main") or tag in INLINE and in_paragraph:
         return 0
-    within = "article" in names or "main" in names
     if tag == "header" and within:
         return 0
     out = 0
@@ -132,10 +135,15 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
         if cut_at is not None and len(stack) <= cut_at:
             cut_at = None
 
-    names = ["#root"]
+    # The open elements, where each name is open, and which of them are blocks.
+    names, places, blocks = ["#root"], {"#root": [0]}, [0]
+    endless: set[str] = set()
 
     def pop_to(depth: int) -> None:
-        del names[depth:]
+        while len(names) > depth:
+            places[names.pop()].pop()
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
         close(depth)
 
     while at < size:
@@ -154,17 +162,21 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
             continue
         attributes = match[3] or match[6] or ""
         if match[1] or match[4]:
-            if name in names:
-                depth = len(names) - 1 - names[::-1].index(name)
-                if depth and not (name in INLINE and any(n not in INLINE for n in names[depth + 1 :])):
+            if places.get(name):
+                depth = places[name][-1]
+                if depth and not (name in INLINE and blocks[-1] > depth):
                     pop_to(depth)
             if name not in INLINE:
                 pieces.append("\n")
             continue
         if name in RAW:
+            if attributes.endswith("/") and name == "svg" or name in endless:
+                continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if not attributes.endswith("/") or name not in ("svg", "math"):
+            if end or name not in OPEN_ENDED:
                 at = end.end() if end else size
+            else:
+                endless.add(name)
             continue
         if name not in INLINE:
             pieces.append("\n")
@@ -175,22 +187,26 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
         closing = "p" if name in CLOSES_P else SAME.get(name, "")
         if closing:
             wanted = closing.split()
-            for depth in range(len(names) - 1, 0, -1):
+            for depth in reversed(blocks[1:]):
                 if names[depth] in wanted:
                     pop_to(depth)
                     break
                 if names[depth] in SCOPE and names[depth] not in ("tr", "td", "th") or names[depth] in ("table", "ul", "ol", "dl"):
                     break
-        names.append(name)
+        within = bool(places.get("article") or places.get("main"))
         if cut_at is not None:
             stack.append(-1)
-        elif _hidden(name, attributes, "article" in names[:-1] or "main" in names[:-1]):
+        elif _hidden(name, attributes, within):
             cut_at = len(stack)
             stack.append(-1)
         else:
             nodes.append(Node(name, stack[-1], len(pieces)))
-            nodes[-1].hint = _hint(name, attributes, names[:-1])
+            nodes[-1].hint = _hint(name, attributes, within, bool(places.get("p")))
             stack.append(len(nodes) - 1)
+        places.setdefault(name, []).append(len(names))
+        if name not in INLINE:
+            blocks.append(len(names))
+        names.append(name)
     close(0)
     return nodes, pieces
 
@@ -249,31 +265,32 @@ def densities(nodes: list[Node]) -> int:
     return body
 
 
-def _text_of(nodes: list[Node], pieces: list[str], up: int, chosen: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Where an ancestor of the core has text of its own: loose text, headings, paragraphs, blocks with a title or paragraph."""
-    out, at, links = [], nodes[up].first, 0
-    paragraphs = {}
-    for k in range(len(nodes) - 1, up, -1):
+def _with_paragraphs(nodes: list[Node]) -> list[bool]:
+    """Whether each node is or holds a title or a longer paragraph."""
+    out = [False] * len(nodes)
+    for k in range(len(nodes) - 1, 0, -1):
         plain = nodes[k].chars - nodes[k].link_chars
-        if not nodes[k].cut and (nodes[k].tag in ("p", "pre", "blockquote") and plain >= PARAGRAPH or nodes[k].tag == "h1" and plain):
-            paragraphs[k] = True
-        if paragraphs.get(k):
-            paragraphs[nodes[k].parent] = True
-    loose = []
-    for k in range(up + 1, len(nodes)):
+        out[k] = out[k] or not nodes[k].cut and (nodes[k].tag in ("p", "pre", "blockquote") and plain >= PARAGRAPH or nodes[k].tag == "h1" and plain > 0)
+        out[nodes[k].parent] |= out[k]
+    return out
+
+
+def _text_of(nodes: list[Node], pieces: list[str], up: int, inner: int, children: list[int], paragraphs: list[bool]) -> list[tuple[int, int]]:
+    """Where an ancestor of the core has text of its own: loose text, headings, paragraphs, blocks with a title or paragraph.
+
+    ``inner`` is the child around the core, whose text is chosen already.
+    """
+    out, at, links, loose = [], nodes[up].first, 0, []
+    for k in children:
         node = nodes[k]
-        if node.first >= nodes[up].last:
-            break
-        if node.parent != up:
-            continue
-        if node.tag in INLINE:
+        if node.tag in INLINE and k != inner:
             links += node.link_chars
             continue
         loose.append((at, node.first))
         at = max(at, node.last)
-        if any(node.first <= a and b <= node.last for a, b in chosen) or not node.chars or node.hint or node.cut:
+        if k == inner or not node.chars or node.hint or node.cut:
             continue
-        if 2 * node.link_chars <= node.chars and (node.tag in TEXT or paragraphs.get(k)):
+        if 2 * node.link_chars <= node.chars and (node.tag in TEXT or paragraphs[k]):
             out.append((node.first, node.last))
     loose.append((at, nodes[up].last))
     # Signs between links are no text.
@@ -305,24 +322,36 @@ def extract(page: str | None) -> str:
     if around:
         last = max((i for i, k in enumerate(above) if nodes[k].tag == "main"), default=-1)
         above = above[: last + 1]
-    for up in above:
-        chosen += _text_of(nodes, pieces, up, chosen)
+    if above:
+        children: list[list[int]] = [[] for _ in nodes]
+        for k in range(1, len(nodes)):
+            children[nodes[k].parent].append(k)
+        paragraphs = _with_paragraphs(nodes)
+        for inner, up in zip([core, *above], above, strict=False):
+            chosen += _text_of(nodes, pieces, up, inner, children[up], paragraphs)
+    covered = bytearray(len(pieces) + 1)
+    for a, b in chosen:
+        covered[a:b] = b"\1" * (b - a)
     for k in sorted(inside, key=lambda k: -nodes[k].total):
         node = nodes[k]
-        if node.density >= least and node.tag not in INLINE and 2 * node.link_chars <= node.chars:
-            if all(node.last <= a or node.first >= b for a, b in chosen):
-                chosen.append((node.first, node.last))
+        if node.density >= least and node.tag not in INLINE and 2 * node.link_chars <= node.chars and covered.find(1, node.first, node.last) < 0:
+            chosen.append((node.first, node.last))
+            covered[node.first : node.last] = b"\1" * (node.last - node.first)
+    # Lists and tables of an article are its text, whatever they link to.
+    within = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        within[k] = n.tag in ("article", "main") or n.parent >= 0 and within[n.parent]
     skipped = [
         (n.first, n.last)
-        for n in nodes
-        if n.tag in ("ul", "ol", "div", "section", "table") and n.link_tags >= 3 and n.link_chars > 0.6 * n.chars
+        for n, kept in zip(nodes, within, strict=True)
+        if n.tag in ("div", "section") + ("ul", "ol", "table") * (not kept) and n.link_tags >= 3 and n.link_chars > 0.6 * n.chars
     ]
     gone = {(n.first, n.last) for n in nodes if n.cut}
     skipped = sorted({*skipped, *gone}, key=lambda x: (x[0], -x[1]))
     out = []
     for first, last in sorted(chosen):
         at = first
-        for a, b in skipped:
+        for a, b in skipped[bisect.bisect_left(skipped, (first, -1)) : bisect.bisect_left(skipped, (last, -1))]:
             if at <= a and b <= last and ((a, b) != (first, last) or (a, b) in gone):
                 out += [*pieces[at:a], "\n"]
                 at = b
