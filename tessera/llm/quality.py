@@ -5,9 +5,9 @@ outlines in which a word equal to the one before is marked as a repeat.  The n-g
 hashed into ``2**BITS`` weights; a feature's value is its share of the n-grams of its family, so a score
 is one sparse dot product and does not depend on the text's length.
 
-Training reads labels of the documents whose ``crc32(doc_id) mod 3`` is not 1, at most ``MAX_EXAMPLES``
-of them (the smallest by a hash of doc_id; the one documented bound), in one task; scoring streams over all
-whole texts.  Null and empty texts get the score of the bias alone.  Repeated documents get equal scores.
+Training reads labels of the documents whose ``crc32(doc_id) mod 3`` is not 1, at most ``MAX_EXAMPLES`` of them (the smallest
+by a hash of doc_id) and of these, in that order, whole texts of at most ``MAX_BYTES`` in all: the two
+documented bounds of what one task learns from.  Scoring streams over all whole texts.  Null and empty texts get the score of the bias alone.  Repeated documents get equal scores.
 Labels are merged per doc_id (a document is good only if all its labels say so); null labels are ignored.
 Without any usable labels every score is 0.5.  Other columns are never read.
 """
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from tessera.llm.shared import arrow_schema, chunks, text_columns
 from tessera.llm.words import NOT_SPACE, U64, Words, mix
 
 BITS = 18
-#: Bound of the labelled sample that training may use.
-MAX_EXAMPLES = 8_000
+#: Bounds of the labelled sample that training may use: documents, and bytes of their texts.
+MAX_EXAMPLES, MAX_BYTES = 8_000, 64 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.01
 #: (stream, n) of each family of features.
@@ -142,7 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples: list[tuple[np.ndarray, np.ndarray]] = []
         marks: list[int] = []
+        size = 0
         for batch in chunks(batches, "text"):
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py()
+            if size > MAX_BYTES and marks:
+                continue
             examples += sparse(batch.column("text").cast(pa.binary()).to_pylist())
             marks += batch.column("quality").to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([fit(examples, marks).tobytes()])], schema=_MODEL_ARROW)
