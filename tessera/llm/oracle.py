@@ -60,4 +60,16 @@ kept as (
 select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (doc_id)
 """
 
-SQL = {"op5_near_duplicates": _OP5, "op6_benchmark_decontamination": _OP6.replace("recursive_words", "words"), "op10_substring_dedup": _OP10}
+_OP7 = r"""
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), d as (
+  select page_id, octet_length(payload) as payload_bytes, sha1(payload) as hex, min(page_id) over (partition by payload) as first_id from p
+)
+select page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id = first_id then null else first_id end as refers_to
+from d
+"""
+
+SQL = {"op5_near_duplicates": _OP5, "op6_benchmark_decontamination": _OP6.replace("recursive_words", "words"), "op7_warc": _OP7, "op10_substring_dedup": _OP10}
