@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.fmt import FStr, format_column, number_column
 from tessera.functions.stats import proportion_ci
-from tessera.plans.context import Context, keyed, null_safe
+from tessera.plans.context import Context, keyed, null_safe, once
 from tessera.spec import Layer, LayerSettings, classify_by, f_str, formats_of
 
 DEFAULT = f_str("xx (xx.x%)", "n", "pct")
@@ -97,13 +97,20 @@ def denominator_frame(ctx: Context, layer: Layer, data: DataFrame, names: dict[s
     return frame
 
 
-def with_denominators(rows: DataFrame, frame: DataFrame, group: list[str], names: dict[str, str], distinct: str | None) -> DataFrame:
-    """Join total (and distinct_total) of the denominators' groups; a group without rows has none."""
+def with_denominators(rows: DataFrame, frame: DataFrame, group: list[str], names: dict[str, str], distinct: str | None, known: dict | None = None) -> DataFrame:
+    """Join total (and distinct_total) of the denominators' groups; a group without rows has none.
+
+    ``known`` keeps the denominators of one frame by their groups, so that each is computed once.
+    """
     keys = [names[g] for g in group if names[g] in frame.columns and names[g] in rows.columns]
-    sums = [F.count(F.lit(1)).alias("total")]
-    if distinct and distinct in frame.columns:
-        sums.append(distinct_count(distinct).alias("distinct_total"))
-    denominators = frame.groupBy(*keys).agg(*sums)
+    denominators = known.get(tuple(keys)) if known is not None else None
+    if denominators is None:
+        sums = [F.count(F.lit(1)).alias("total")]
+        if distinct and distinct in frame.columns:
+            sums.append(distinct_count(distinct).alias("distinct_total"))
+        denominators = frame.groupBy(*keys).agg(*sums)
+        if known is not None:
+            denominators = known[tuple(keys)] = once(denominators)
     return null_safe(rows, denominators, keys) if keys else rows.join(F.broadcast(denominators), F.lit(True), "left")
 
 
@@ -168,9 +175,10 @@ def order_key(ctx: Context, data: DataFrame, rows: DataFrame, var: str, key: str
         name = f"__o{key}"
         rows = rows.withColumn(name, F.array_position(F.array(*[F.lit(x) for x in declared]), F.col(key)))
         return rows, [Key(name), Key(key)]
-    if var + "N" in data.columns and method in (None, "byvarn", "byfactor"):
+    number = next((x for x in (f"__v{key}", var + "N") if x in data.columns), None)
+    if number and method in (None, "byvarn", "byfactor"):
         name = f"__o{key}"
-        companion = data.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(F.col(f"`{var}N`").cast("double")).alias(name))
+        companion = data.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(F.col(f"`{number}`").cast("double")).alias(name))
         rows = rows.join(companion, F.col(key) == F.col("__k"), "left").drop("__k")
         return rows, [Key(name), Key(key)]
     return rows, [Key(key)]
@@ -205,39 +213,41 @@ def build_count(ctx: Context, layer: Layer) -> Long:
                 (F.count_distinct(F.when(miss, d)) + null_once(miss)).alias("distinct_missing"),
                 (F.count_distinct(F.when(~miss, d)) + null_once(~miss)).alias("distinct_known"),
             ]
+    aggregates += [F.min(F.col(f"`{v}N`").cast("double")).alias(f"__v{names[v]}") for v in dict.fromkeys([*by, *targets]) if v + "N" in data.columns]
     if len(sets) > 1:
         depth = F.lit(m) - sum((F.grouping(x) for x in t), F.lit(0))
         grouped = data.groupingSets([[F.col(x) for x in g] for g in sets], *[F.col(x) for x in keys]).agg(*aggregates, depth.cast("int").alias("__depth"))
     else:
         grouped = data.groupBy(*keys).agg(*aggregates).withColumn("__depth", F.lit(1))
+    # Levels, pairs, sort keys and cells all come from this one aggregate; denominators are another.
+    grouped = once(grouped)
+    seen, known = grouped.where(F.col("__depth") == m), {}
+    frame = denominator_frame(ctx, layer, data, names, targets[0], True)
 
     parts = []
     for d in range(1, m + 1):
-        seen = data.select(*b, *t[:d]).distinct()
         if d == 1:
-            by_frames = [level_frame(ctx, data, v, k) for v, k in zip(by, b, strict=True)]
-            grid = cross([*by_frames, level_frame(ctx, data, targets[0], t[0])], spark).drop("__one")
+            by_frames = [level_frame(ctx, seen, v, k) for v, k in zip(by, b, strict=True)]
+            grid = cross([*by_frames, level_frame(ctx, seen, targets[0], t[0])], spark).drop("__one")
             if s.limit_data_by:
                 some = [names[v] for v in _list(s.limit_data_by) if v in names]
-                grid = grid.join(data.select(*some).distinct(), some, "left_semi")
+                grid = grid.join(seen.select(*some).distinct(), some, "left_semi")
         else:
             grid = seen.select(*t[:d]).where(" and ".join(f"{x} is not null" for x in t[:d])).distinct()
             if b:
-                grid = cross([level_frame(ctx, data, v, k) for v, k in zip(by, b, strict=True)], spark).drop("__one").crossJoin(grid)
+                grid = cross([level_frame(ctx, seen, v, k) for v, k in zip(by, b, strict=True)], spark).drop("__one").crossJoin(grid)
         grid = combo_grid(grid, ctx.combos)
         counts = grouped.where(F.col("__depth") == d).select(*c, *b, *t[:d], "n", *(["distinct_n"] if distinct else []))
         rows = grid.join(counts, [*c, *b, *t[:d]], "left")
         if s.missing_count is not None:
             rows = rows.where(~is_missing(t[0], s))
-        group = nested_denoms(s, d, cols)
-        frame = denominator_frame(ctx, layer, data, names, targets[0], True)
-        rows = with_denominators(rows, frame, group, names, distinct)
+        rows = with_denominators(rows, frame, nested_denoms(s, d, cols), names, distinct, known)
         if s.keep_levels and d == 1 or s.keep_levels and m > 1:
             rows = rows.where(F.col(t[0]).isin([str(x) for x in _list(s.keep_levels)]))
         rows = rows.withColumns({x: F.lit("").cast("string") for x in t[d:]}).withColumns({"__depth": F.lit(d), "__kind": F.lit(NORMAL)})
         parts.append(rows)
 
-    by_grid = combo_grid(cross([level_frame(ctx, data, v, k) for v, k in zip(by, b, strict=True)], spark).drop("__one") if by else spark.range(1).select(F.lit(1).alias("__one")), ctx.combos).drop("__one")
+    by_grid = combo_grid(cross([level_frame(ctx, seen, v, k) for v, k in zip(by, b, strict=True)], spark).drop("__one") if by else spark.range(1).select(F.lit(1).alias("__one")), ctx.combos).drop("__one")
     if not by and not cols:
         by_grid = spark.range(1).select(F.lit(1).alias("__one"))
 
@@ -245,7 +255,7 @@ def build_count(ctx: Context, layer: Layer) -> Long:
         own = grouped.where("__depth = 0").select(*c, *b, n.alias("n"), *([dn.alias("distinct_n")] if dn is not None else []))
         rows = by_grid.join(own, [*c, *b], "left") if c or b else own
         group = [g for g in nested_denoms(s, 1, cols) if g not in targets]
-        rows = with_denominators(rows, denominator_frame(ctx, layer, data, names, targets[0], True), group, names, distinct)
+        rows = with_denominators(rows, frame, group, names, distinct, known)
         labels = {t[0]: F.lit(text)} | {x: F.lit("") for x in t[1:]}
         return rows.withColumns(labels | {"__depth": F.lit(0), "__kind": F.lit(kind)})
 
@@ -270,10 +280,12 @@ def build_count(ctx: Context, layer: Layer) -> Long:
         if missing_format is not None:
             text = F.when(F.col("__kind") == MISSING, cell(missing_format, rows, s, ctx)).otherwise(text)
         rows = rows.withColumn(f"__f{k}", text)
+    if "bycount" in _list(s.order_count_method):
+        rows = once(rows)
 
     order: list[Key] = []
     for v, k in zip(by, b, strict=True):
-        rows, keys_ = order_key(ctx, data, rows, v, k)
+        rows, keys_ = order_key(ctx, seen, rows, v, k)
         order += keys_
     place = (s.missing_count or {}).get("sort_value")
     kind = F.col("__kind").cast("double")
@@ -285,7 +297,7 @@ def build_count(ctx: Context, layer: Layer) -> Long:
         if d > 1:
             rows = rows.withColumn(f"__odepth{d}", F.when(F.col("__depth") >= d, 1).otherwise(0))
             order.append(Key(f"__odepth{d}"))
-        rows, keys_ = _target_order(ctx, rows, data, s, d, method, targets, t, b, c)
+        rows, keys_ = _target_order(ctx, rows, seen, s, d, method, targets, t, b, c)
         if d == 1 and s.outer_sort_position == "desc":
             keys_ = [Key(k.name, not k.ascending, not k.nulls_first) for k in keys_]
         order += keys_

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import re
+import shutil
+import tempfile
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -54,6 +58,22 @@ def originals(df: DataFrame) -> DataFrame:
     return df
 
 
+def once(df: DataFrame) -> DataFrame:
+    """A frame of a table's size, computed now and kept in the shared folder of ``spark.checkpoint.dir``.
+
+    What is derived from it doesn't read the source again, and a lost executor doesn't repeat it.  On one machine a
+    temporary folder serves; on a cluster without the setting the frame stays lazy, and is computed where it is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            return df
+        root = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        context.setCheckpointDir(f"file://{root}")
+    return df.checkpoint(eager=True)
+
+
 @dataclass
 class Context:
     spec: TableSpec
