@@ -131,22 +131,25 @@ def risk_difference(n1: Column, t1: Column, n2: Column, t2: Column, level: float
     }
 
 
+def quantile_places(n: Column, p: float, kind: int) -> tuple[Column, Column]:
+    """For a sample quantile of Hyndman and Fan's types 1 to 9: j, and the share of the value after the j-th smallest."""
+    n = n.cast("double")
+    if kind <= 3:
+        np_ = n * p - (0.5 if kind == 3 else 0.0)
+        j = F.floor(np_ + 4e-15)
+        return j, F.when(np_ - j > 1e-14, 1.0).otherwise({1: F.lit(0.0), 2: F.lit(0.5), 3: F.when(j % 2 == 0, 0.0).otherwise(1.0)}[kind])
+    a, b = {4: (0, 1), 5: (0.5, 0.5), 6: (0, 0), 7: (1, 1), 8: (1 / 3, 1 / 3), 9: (3 / 8, 3 / 8)}[kind]
+    np_ = a + p * (n + 1 - a - b)
+    j = F.floor(np_ + 4e-15)
+    return j, F.when(F.abs(np_ - j) < 4e-15, 0.0).otherwise(np_ - j)
+
+
 def quantile(value: Column, p: float, kind: int = 7) -> Column:
-    """A sample quantile of Hyndman and Fan's types 1 to 9, over non-null values of a group."""
+    """A quantile as one aggregate; types other than 7 hold the values of a group in a row, so it is for small groups."""
     if kind == 7:
         return F.percentile(value, p)
     v = F.sort_array(F.collect_list(value))
-    n = F.size(v).cast("double")
-    if kind <= 3:
-        np_ = n * p - (0.5 if kind == 3 else 0.0)
-        j = F.floor(np_ + 4e-15)
-        g = np_ - j
-        step = F.when(g > 1e-14, 1.0).otherwise({1: F.lit(0.0), 2: F.lit(0.5), 3: F.when(j % 2 == 0, 0.0).otherwise(1.0)}[kind])
-    else:
-        a, b = {4: (0, 1), 5: (0.5, 0.5), 6: (0, 0), 8: (1 / 3, 1 / 3), 9: (3 / 8, 3 / 8)}[kind]
-        np_ = a + p * (n + 1 - a - b)
-        j = F.floor(np_ + 4e-15)
-        step = F.when(F.abs(np_ - j) < 4e-15, 0.0).otherwise(np_ - j)
+    j, step = quantile_places(F.size(v), p, kind)
 
     def at(k: Column) -> Column:
         return F.get(v, (F.least(F.greatest(k, F.lit(1)), F.size(v)) - 1).cast("int"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.fmt import FStr, format_column
 from tessera.functions.stats import risk_difference
 from tessera.operators.counting import NORMAL, TOTAL, Long
-from tessera.plans.context import Context, originals
+from tessera.plans.context import Context, message, originals, report_errors
 from tessera.spec import AssocTest, Layer, f_str
 
 RISK = f_str("xx.x (xx.x, xx.x)", "rdiff", "lower", "upper")
@@ -30,7 +30,7 @@ def risk_columns(ctx: Context, layer: Layer) -> list[tuple[str, str, Column]]:
     if not config or not config.get("comparisons"):
         return []
     if not ctx.cols:
-        raise ValueError("Risk difference requires at least one column variable (cols)")
+        raise ValueError("risk_diff compares column levels, so the table needs a column variable (cols)")
     fmt: FStr = config.get("format", RISK)
     count, total = ("distinct_n", "distinct_total") if config.get("use_distinct") else ("n", "total")
     out = []
@@ -43,20 +43,33 @@ def risk_columns(ctx: Context, layer: Layer) -> list[tuple[str, str, Column]]:
     return out
 
 
-def render(value: Any, fmt: FStr) -> tuple[str | None, list[float | None]]:
-    """A test's result: a text as it is, or numbers for the format; anything else is blank."""
+def render(value: Any, fmt: FStr) -> tuple[str | None, list[float | None], str | None]:
+    """A test's result: a text as it is, or numbers for the format; anything else is blank, and an error or missing."""
+    none = [None] * len(fmt.groups)
     if isinstance(value, str):
-        return value, [None] * len(fmt.groups)
+        return value, none, None
     try:
         numbers = [float(v) for v in (value if isinstance(value, Sequence) or hasattr(value, "__iter__") else [value])]
-    except (TypeError, ValueError):
-        return "", [None] * len(fmt.groups)
-    if len(numbers) != len(fmt.groups) or any(math.isnan(v) for v in numbers):
-        return "", [None] * len(fmt.groups)
-    return None, numbers
+    except (TypeError, ValueError) as e:
+        return "", none, message(e)
+    if len(numbers) != len(fmt.groups):
+        return "", none, f"{len(numbers)} value(s) returned for a format of {len(fmt.groups)}"
+    if any(math.isnan(v) for v in numbers):
+        return "", none, None
+    return None, numbers, None
 
 
-def pairwise_columns(ctx: Context, layer: Layer) -> list[tuple[str, str, Column]]:
+def attempt(fn: Callable[..., Any], argument: Any, fmt: FStr) -> tuple[Any, ...]:
+    """Text, numbers and error of one call."""
+    try:
+        text, numbers, error = render(fn(argument), fmt)
+    except Exception as e:  # noqa: BLE001  a caller's function
+        text, numbers, error = "", [None] * len(fmt.groups), message(e)
+    return (text, *numbers, error)
+
+
+def pairwise_columns(ctx: Context, layer: Layer) -> list[tuple[str, str, Column, Column]]:
+    """(name, label, aggregate, its error) of each comparison."""
     test: AssocTest = layer.settings.assoc_test
     levels = ctx.col_levels[ctx.cols[0]]
     reference = test.reference or levels[0]
@@ -66,28 +79,24 @@ def pairwise_columns(ctx: Context, layer: Layer) -> list[tuple[str, str, Column]
     kinds = (NORMAL, TOTAL) if test.total_row else (NORMAL,)
     fn, fmt = test.fn, test.format
     labels = [test.label] * len(others) if isinstance(test.label, str) else list(test.label) if test.label else [f"{reference} vs {x}" for x in others]
-    schema = "text string, " + ", ".join(f"v{k} double" for k in range(len(fmt.groups)))
+    schema = "text string, " + ", ".join(f"v{k} double" for k in range(len(fmt.groups))) + ", error string"
 
     @F.pandas_udf(schema)
     def call(a: pd.Series, m: pd.Series, b: pd.Series, n: pd.Series) -> pd.DataFrame:
         out = []
         for w, x, y, z in zip(a, m, b, n, strict=True):
             if any(v is None or pd.isna(v) for v in (x, z)):
-                out.append(("", *[None] * len(fmt.groups)))
+                out.append(("", *[None] * len(fmt.groups), None))
                 continue
             w, y = (0 if v is None or pd.isna(v) else v for v in (w, y))
-            try:
-                text, numbers = render(fn([[int(w), int(x - w)], [int(y), int(z - y)]]), fmt)
-            except Exception:  # noqa: BLE001  a caller's function
-                text, numbers = "", [None] * len(fmt.groups)
-            out.append((text, *numbers))
-        return pd.DataFrame(out, columns=["text", *[f"v{k}" for k in range(len(fmt.groups))]])
+            out.append(attempt(fn, [[int(w), int(x - w)], [int(y), int(z - y)]], fmt))
+        return pd.DataFrame(out, columns=["text", *[f"v{k}" for k in range(len(fmt.groups))], "error"])
 
     columns = []
     for k, (other, text) in enumerate(zip(others, labels, strict=True), 1):
         found = call(*[arm(x, y, kinds).cast("double") for x in (reference, other) for y in (count, total)])
         shown = format_column(fmt, [found[f"v{j}"] for j in range(len(fmt.groups))], options=ctx.options)
-        columns.append((f"pval{k}", text, F.coalesce(found["text"], shown)))
+        columns.append((f"pval{k}", text, F.coalesce(found["text"], shown), found["error"]))
     return columns
 
 
@@ -98,17 +107,18 @@ def omnibus(ctx: Context, layer: Layer, long: Long) -> tuple[DataFrame, str]:
     keys = [f"__b{k}" for k in range(1, len(long.by_vars) + 1)]
     data = originals(data).withColumns({k: F.col(f"`{v}`").cast("string") for k, v in zip(keys, long.by_vars, strict=True)})
     plain = [c for c in data.columns if not c.startswith("__")]
+    if test.columns is not None:
+        plain = list(dict.fromkeys(test.columns))
     fn, fmt, width = test.fn, test.format, len(test.format.groups)
-    schema = ", ".join([*(f"{k} string" for k in keys), "text string", *(f"v{k} double" for k in range(width))])
+    schema = ", ".join([*(f"{k} string" for k in keys), "text string", *(f"v{k} double" for k in range(width)), "__error string"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            text, numbers = render(fn(pdf[plain]), fmt)
-        except Exception:  # noqa: BLE001  a caller's function
-            text, numbers = "", [None] * width
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), text, *numbers]], columns=[*keys, "text", *[f"v{k}" for k in range(width)]])
+        found = attempt(fn, pdf[plain], fmt)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *found]], columns=[*keys, "text", *[f"v{k}" for k in range(width)], "__error"])
 
-    grouped = data.withColumn("__one", F.lit(1)).groupBy(*(keys or ["__one"])).applyInPandas(run, schema)
+    # The test gets the columns that it names (all, if it doesn't), and its groups as a whole.
+    narrow = data.select(*(f"`{c}`" for c in plain), *keys).withColumn("__one", F.lit(1))
+    grouped = report_errors(narrow.groupBy(*(keys or ["__one"])).applyInPandas(run, schema), "A test of association")
     shown = format_column(fmt, [F.col(f"v{k}") for k in range(width)], options=ctx.options)
     label = test.label if isinstance(test.label, str) else "p-value"
     return grouped.select(*keys, F.coalesce("text", shown).alias("pval1")), label

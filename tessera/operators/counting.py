@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -94,10 +95,25 @@ def denominator_frame(ctx: Context, layer: Layer, data: DataFrame, names: dict[s
             frame = frame.where(~F.coalesce(t.isin([str(x) for x in _list(s.denom_ignore)]), F.lit(False)))
         if (s.missing_count or {}).get("denom_exclude"):
             frame = frame.where(~is_missing(names[target], s))
+    elif (s.missing_count or {}).get("denom_exclude"):
+        warnings.warn(f"denom_exclude has no effect: the population has no column '{target}'", stacklevel=4)
     return frame
 
 
-def with_denominators(rows: DataFrame, frame: DataFrame, group: list[str], names: dict[str, str], distinct: str | None, known: dict | None = None) -> DataFrame:
+def check_denominators(rows: DataFrame, names: dict[str, str], compared: bool) -> None:
+    """Warn of cells that count rows over no denominator, and of comparisons whose count exceeds it."""
+    def some(test: str) -> str:
+        found = rows.where(test).select(*names.values()).distinct().limit(6).collect()
+        shown = ["/".join("(missing)" if v is None else v for v in r) for r in found]
+        return ", ".join(shown[:5]) + ", ..." * (len(shown) > 5)
+
+    if cells := some("n > 0 and coalesce(total, 0) = 0"):
+        warnings.warn(f"Rows are counted where the denominator is zero or missing: {cells}", stacklevel=4)
+    if compared and (cells := some("n > total and total > 0")):
+        warnings.warn(f"Counts exceed their denominators, so their risk differences are blank: {cells}", stacklevel=4)
+
+
+def with_denominators(rows: DataFrame, frame: DataFrame, group: list[str], names: dict[str, str], distinct: str | None, known: dict | None = None, tally: Column | None = None) -> DataFrame:
     """Join total (and distinct_total) of the denominators' groups; a group without rows has none.
 
     ``known`` keeps the denominators of one frame by their groups, so that each is computed once.
@@ -105,7 +121,7 @@ def with_denominators(rows: DataFrame, frame: DataFrame, group: list[str], names
     keys = [names[g] for g in group if names[g] in frame.columns and names[g] in rows.columns]
     denominators = known.get(tuple(keys)) if known is not None else None
     if denominators is None:
-        sums = [F.count(F.lit(1)).alias("total")]
+        sums = [(F.count(F.lit(1)) if tally is None else tally).alias("total")]
         if distinct and distinct in frame.columns:
             sums.append(distinct_count(distinct).alias("distinct_total"))
         denominators = frame.groupBy(*keys).agg(*sums)
@@ -197,7 +213,7 @@ def build_count(ctx: Context, layer: Layer) -> Long:
     distinct = s.distinct_by
 
     # Every depth of nesting and the special rows come from one pass over the data.
-    aggregates = [F.count(F.lit(1)).alias("n")]
+    aggregates = [ctx.tally().alias("n")]
     if distinct:
         aggregates.append(distinct_count(distinct).alias("distinct_n"))
     special = s.missing_count is not None or s.total_row
@@ -205,7 +221,7 @@ def build_count(ctx: Context, layer: Layer) -> Long:
     keys = [*c, *b, *t]
     if special:
         miss = is_missing(t[0], s)
-        aggregates += [F.count_if(miss).alias("n_missing")]
+        aggregates += [ctx.tally(miss).alias("n_missing")]
         if distinct:
             d = F.col(f"`{distinct}`")
             null_once = lambda test: F.coalesce(F.max(F.when(test & d.isNull(), 1).otherwise(0)), F.lit(0))
@@ -223,6 +239,7 @@ def build_count(ctx: Context, layer: Layer) -> Long:
     grouped = once(grouped)
     seen, known = grouped.where(F.col("__depth") == m), {}
     frame = denominator_frame(ctx, layer, data, names, targets[0], True)
+    tally = ctx.tally() if ctx.weight in frame.columns else None
 
     parts = []
     for d in range(1, m + 1):
@@ -241,7 +258,7 @@ def build_count(ctx: Context, layer: Layer) -> Long:
         rows = grid.join(counts, [*c, *b, *t[:d]], "left")
         if s.missing_count is not None:
             rows = rows.where(~is_missing(t[0], s))
-        rows = with_denominators(rows, frame, nested_denoms(s, d, cols), names, distinct, known)
+        rows = with_denominators(rows, frame, nested_denoms(s, d, cols), names, distinct, known, tally)
         if s.keep_levels and d == 1 or s.keep_levels and m > 1:
             rows = rows.where(F.col(t[0]).isin([str(x) for x in _list(s.keep_levels)]))
         rows = rows.withColumns({x: F.lit("").cast("string") for x in t[d:]}).withColumns({"__depth": F.lit(d), "__kind": F.lit(NORMAL)})
@@ -255,7 +272,7 @@ def build_count(ctx: Context, layer: Layer) -> Long:
         own = grouped.where("__depth = 0").select(*c, *b, n.alias("n"), *([dn.alias("distinct_n")] if dn is not None else []))
         rows = by_grid.join(own, [*c, *b], "left") if c or b else own
         group = [g for g in nested_denoms(s, 1, cols) if g not in targets]
-        rows = with_denominators(rows, frame, group, names, distinct, known)
+        rows = with_denominators(rows, frame, group, names, distinct, known, tally)
         labels = {t[0]: F.lit(text)} | {x: F.lit("") for x in t[1:]}
         return rows.withColumns(labels | {"__depth": F.lit(0), "__kind": F.lit(kind)})
 
@@ -280,8 +297,12 @@ def build_count(ctx: Context, layer: Layer) -> Long:
         if missing_format is not None:
             text = F.when(F.col("__kind") == MISSING, cell(missing_format, rows, s, ctx)).otherwise(text)
         rows = rows.withColumn(f"__f{k}", text)
-    if "bycount" in _list(s.order_count_method):
+    # Denominators of other rows than those counted may lack some of them.
+    apart = ctx.pop is not None or s.denom_where or s.denom_ignore or (s.missing_count or {}).get("denom_exclude")
+    if apart or "bycount" in _list(s.order_count_method):
         rows = once(rows)
+    if apart:
+        check_denominators(rows, names, bool(s.risk_diff))
 
     order: list[Key] = []
     for v, k in zip(by, b, strict=True):
@@ -329,8 +350,6 @@ def _target_order(ctx: Context, rows: DataFrame, data: DataFrame, s: LayerSettin
         if len(lacking) == len(wanted):
             raise ValueError(f"ordering_cols: no level of '{ctx.cols[0] if ctx.cols else ''}' matches {', '.join(wanted)}")
         if lacking:
-            import warnings
-
             warnings.warn(f"ordering_cols: level(s) not found: {', '.join(lacking)}", stacklevel=3)
         counted = counted.where(F.col(c[0]).isin(wanted))
     name = f"__n{key}"
@@ -376,12 +395,12 @@ def build_shift(ctx: Context, layer: Layer) -> Long:
     combos = [(*x, y) for x in ctx.combos for y in declared]
     group = list(s.denoms_by) if s.denoms_by is not None and not isinstance(s.denoms_by, str) else [s.denoms_by] if s.denoms_by else [*cols, *by, col_var] if s.shift_denom == "column" else cols
     distinct = s.distinct_by
-    aggregates = [F.count(F.lit(1)).alias("n")] + ([distinct_count(distinct).alias("distinct_n")] if distinct else [])
+    aggregates = [ctx.tally().alias("n")] + ([distinct_count(distinct).alias("distinct_n")] if distinct else [])
     counts = data.groupBy(*c, *b, "__t1").agg(*aggregates)
     grid = cross([*[level_frame(ctx, data, v, k) for v, k in zip(by, b, strict=True)], level_frame(ctx, data, row_var, "__t1")], spark).drop("__one")
     rows = combo_grid(grid, combos).join(counts, [*c, *b, "__t1"], "left")
     frame = denominator_frame(ctx, layer, data, names, row_var, False)
-    rows = with_denominators(rows, frame, group, names, distinct)
+    rows = with_denominators(rows, frame, group, names, distinct, tally=ctx.tally())
     formats = [formats_of(layer).get("n_counts") or next(iter(formats_of(layer).values()), DEFAULT)]
     rows = stats(rows, s, formats).withColumns({"__kind": F.lit(1), "__depth": F.lit(1)})
     rows = rows.withColumn("__f1", cell(formats[0], rows, s, ctx))

@@ -6,14 +6,14 @@ import warnings
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.fmt import FStr, format_column
-from tessera.functions.stats import quantile
+from tessera.functions.stats import quantile_places
 from tessera.operators.counting import Key, Long, denominator_frame, null_safe, order_key, with_denominators
-from tessera.plans.context import Context, keyed
+from tessera.plans.context import Context, keyed, message, once, report_errors
 from tessera.spec import Layer, classify_by, f_str, formats_of
 
 DEFAULTS = {
@@ -26,16 +26,20 @@ DEFAULTS = {
 }
 
 
-def statistics(value: Column, kind: int) -> dict[str, Column]:
-    """Aggregates of a numeric variable; missing and NaN are dropped, infinite values are kept but for min and max."""
+def statistics(value: Column) -> dict[str, Column]:
+    """Aggregates of a numeric variable; missing and NaN are dropped, infinite values are kept but for min and max.
+
+    Median and quartiles (type 7) are points of one exact aggregate.
+    """
     finite = F.when(F.abs(value) != float("inf"), value)
-    q1, q3 = quantile(value, 0.25, kind), quantile(value, 0.75, kind)
+    points = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q1, median, q3 = (points[k] for k in range(3))
     return {
         "n": F.count(value),
         "n_records": F.count(F.lit(1)),
         "mean": F.avg(value),
         "sd": F.stddev_samp(value),
-        "median": F.median(value),
+        "median": median,
         "var": F.var_samp(value),
         "min": F.min(finite),
         "max": F.max(finite),
@@ -105,15 +109,18 @@ def build_desc(ctx: Context, layer: Layer) -> Long:
     rows, numeric = None, None
     for t, target in enumerate(layer.target):
         value = clean_number(target)
-        wanted = statistics(value, ctx.options.quantile_type)
+        wanted = statistics(value)
         for name, text in summaries.items():
             if isinstance(text, str):
                 wanted[name] = F.expr(text.replace(".var", "__value"))
         frame = data.withColumn("__value", value)
         block = frame.groupBy(*c, *b).agg(*[col.alias(k) for k, col in wanted.items()])
+        if ctx.options.quantile_type != 7:
+            block = null_safe(block.drop("q1", "q3", "iqr"), quartiles(frame, [*c, *b], ctx.options.quantile_type), [*c, *b])
         calls = {k: f for k, f in summaries.items() if callable(f)}
         if calls:
-            block = null_safe(block, _call_summaries(frame, [*c, *b], calls), [*c, *b])
+            found = report_errors(_call_summaries(frame, [*c, *b], calls), f"A summary of '{target}'")
+            block = null_safe(block, found, [*c, *b])
         group = [s.denoms_by] if isinstance(s.denoms_by, str) else list(s.denoms_by) if s.denoms_by is not None else cols
         if group:
             block = with_denominators(block, denominator_frame(ctx, layer, data, names, target, True), group, names, None)
@@ -125,6 +132,12 @@ def build_desc(ctx: Context, layer: Layer) -> Long:
             for v in have:
                 block = block.withColumn(f"__p_{v}", F.col(names[v]))
             block = null_safe(block, found.select(*[f"__p_{v}" for v in have], "max_int", "max_dec"), [f"__p_{v}" for v in have]) if have else block.crossJoin(found.select("max_int", "max_dec"))
+            if s.precision_data is not None:
+                block = once(block)
+                lacking = block.where("max_int is null or max_dec is null").select(*have_keys(names, [*cols, *by])).limit(5).collect()
+                if lacking:
+                    shown_ = ", ".join("/".join("(missing)" if v is None else v for v in r) or "all rows" for r in lacking)
+                    warnings.warn(f"precision_data has no widths for some groups, whose cells are blank: {shown_}", stacklevel=3)
             widths = (F.col("max_int"), F.col("max_dec"))
         structs = []
         for k, (name, fmt) in enumerate(formats.items(), 1):
@@ -148,19 +161,45 @@ def build_desc(ctx: Context, layer: Layer) -> Long:
     return Long(rows, ctx.combos, ctx.header, [*b, "__block", "__var", "__stat", "__t1", "__kind", "__depth"], order, labels, [("__f1", "")], numeric, [], by, list(layer.target))
 
 
+def have_keys(names: dict[str, str], wanted: list[str]) -> list[str]:
+    return [names[v] for v in wanted]
+
+
+def quartiles(frame: DataFrame, keys: list[str], kind: int) -> DataFrame:
+    """q1, q3 and iqr of types other than 7, from how often each value occurs: no group is gathered in a row."""
+    counts = frame.where(F.col("__value").isNotNull()).groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__value")
+    counts = counts.withColumn("__upto", F.sum("__n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = frame.groupBy(*keys).agg(F.count("__value").alias("__size"))
+    counts = null_safe(sizes, counts, keys) if keys else sizes.crossJoin(counts)
+    points = {name: quantile_places(F.col("__size"), p, kind) for name, p in (("q1", 0.25), ("q3", 0.75))}
+
+    def at(k: Column) -> Column:
+        inside = F.least(F.greatest(k, F.lit(1)), F.col("__size"))
+        return F.min(F.when(F.col("__upto") >= inside, F.col("__value")))
+
+    sums = [at(j + more).alias(f"__{name}{more}") for name, (j, _) in points.items() for more in (0, 1)]
+    found = counts.groupBy(*keys, "__size").agg(*sums)
+    for name, (_, step) in points.items():
+        low, high = F.col(f"__{name}0"), F.col(f"__{name}1")
+        found = found.withColumn(name, F.when(step == 0, low).when(step == 1, high).otherwise(low * (1 - step) + high * step))
+    return found.select(*keys, "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
+
+
 def _call_summaries(frame: DataFrame, keys: list[str], calls: dict[str, Any]) -> DataFrame:
-    """Python summaries of a group's values; an error gives a null and one warning."""
-    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *[T.StructField(n, T.DoubleType()) for n in calls]])
+    """Python summaries of a group's values; an error gives a null and its text in ``__error``."""
+    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *[T.StructField(n, T.DoubleType()) for n in calls], T.StructField("__error", T.StringType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf["__value"].dropna()
-        out = {k: pdf[k].iloc[0] for k in keys}
+        out = {k: pdf[k].iloc[0] for k in keys} | {"__error": None}
         for name, fn in calls.items():
             try:
                 out[name] = float(fn(values))
-            except Exception:  # noqa: BLE001  a caller's function
+            except Exception as e:  # noqa: BLE001  a caller's function
                 out[name] = None
-        return pd.DataFrame([out])
+                out["__error"] = out["__error"] or f"{name}: {message(e)}"
+        return pd.DataFrame([out])[[*keys, *calls, "__error"]]
 
     return frame.select(*keys, "__value").groupBy(*keys).applyInPandas(run, schema)
 
@@ -192,18 +231,25 @@ def build_analyze(ctx: Context, layer: Layer) -> Long:
     fields += [T.StructField(n, T.DoubleType()) for n in names] if formats else [T.StructField("row_label", T.StringType()), T.StructField("formatted", T.StringType())]
     wanted = [*(names or ["row_label", "formatted"])]
     hidden = [x for x in data.columns if x.startswith("__")]
+    fields.append(T.StructField("__error", T.StringType()))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in keys}
-        found = fn(pdf.drop(columns=hidden), targets[0] if len(targets) == 1 else targets)
-        found = pd.DataFrame([found]) if isinstance(found, dict) else found
-        for n in wanted:
-            if n not in found.columns:
-                found[n] = None
-        return found[wanted].assign(**head)[[*keys, *wanted]]
+        head, error = {k: pdf[k].iloc[0] for k in keys}, None
+        try:
+            found = fn(pdf.drop(columns=hidden), targets[0] if len(targets) == 1 else targets)
+            found = pd.DataFrame([found]) if isinstance(found, dict) else found
+            found = found.assign(**{n: None for n in wanted if n not in found.columns})[wanted]
+            if names:
+                found = found.astype(float)
+        except Exception as e:  # noqa: BLE001  a caller's function
+            found, error = pd.DataFrame([dict.fromkeys(wanted)]), message(e)
+        return found.assign(**head, __error=error)[[*keys, *wanted, "__error"]]
 
     # A group is what the caller's function asks for at once, so it has to fit into one task.
     found = (data.withColumn("__one", F.lit(1)) if not keys else data).groupBy(*(keys or ["__one"])).applyInPandas(run, T.StructType(fields))
+    found = report_errors(found, f"analyze_fn of '{', '.join(targets)}'")
+    if not formats:
+        found = found.where(F.col("row_label").isNotNull() | F.col("formatted").isNotNull())
     if formats:
         structs = [
             F.struct(F.lit(n).alias("__t1"), F.lit(k).alias("__stat"), format_column(f, [F.col(v) for v in f.vars], options=ctx.options).alias("__f1"))

@@ -14,7 +14,7 @@ from tessera.operators.comparing import omnibus, pairwise_columns, risk_columns
 from tessera.operators.counting import MISSING, NORMAL, SUBJECTS, TOTAL, Long, build_count, build_shift
 from tessera.operators.describing import DEFAULTS, build_analyze, build_desc, transpose
 from tessera.options import Options, current_options
-from tessera.plans.context import Context, add_groups
+from tessera.plans.context import Context, add_groups, report_errors
 from tessera.spec import Layer, PopData, TableSpec, formats_of, validate_data, validate_spec
 
 KINDS = {NORMAL: "normal", MISSING: "missing", SUBJECTS: "missing_subjects", TOTAL: "total"}
@@ -88,11 +88,13 @@ def pivot(ctx: Context, layer: Layer, long: Long, index: int) -> LayerPlan:
             aggregates.append(aggregate.alias(name))
             columns.append((name, text))
     if layer.kind == "count" and s.assoc_test is not None and s.assoc_test.pairwise:
-        for name, text, aggregate in pairwise_columns(ctx, layer):
-            aggregates.append(aggregate.alias(name))
+        for name, text, aggregate, error in pairwise_columns(ctx, layer):
+            aggregates += [aggregate.alias(name), error.alias(f"__error_{name}")]
             columns.append((name, text))
     kept = list(dict.fromkeys([*long.row_keys, *(key.name for key in long.order)]))
     wide = long.rows.groupBy(*kept).agg(*aggregates)
+    if errors := [x for x in wide.columns if x.startswith("__error_")]:
+        wide = report_errors(wide.withColumn("__error", F.coalesce(*errors)).drop(*errors), "A pairwise test")
     # The final table is one for readers: its rows are numbered in one order.
     place = F.row_number().over(Window.orderBy(*[key.column() for key in long.order]))
     wide = wide.withColumn("ord_layer_1", place.cast("int"))
@@ -125,10 +127,11 @@ def transposed(ctx: Context, plan: LayerPlan) -> LayerPlan:
     return LayerPlan(plan.layer, replace(long, labels=labels, row_keys=[]), wide, [(n, n) for n in names])
 
 
-def build(spec: TableSpec | str, data: DataFrame, pop_data: DataFrame | None = None, metadata: bool = False, options: Options | None = None, **overrides: Any) -> BuildResult:
+def build(spec: TableSpec | str, data: DataFrame, pop_data: DataFrame | None = None, metadata: bool = False, options: Options | None = None, weight: str | None = None, **overrides: Any) -> BuildResult:
     """Build a table.  ``spec`` may be a path; ``where=``, ``cols=`` and ``pop_config={"cols", "where"}`` override parts of it.
 
-    ``metadata=True`` adds ``row_id`` and lets cells be traced to source rows.
+    ``metadata=True`` adds ``row_id`` and lets cells be traced to source rows.  ``weight`` names a column that tells how often
+    a row counts, for tables of count and shift layers.
     """
     if isinstance(spec, str):
         from tessera.sources.serialize import read_spec
@@ -140,6 +143,11 @@ def build(spec: TableSpec | str, data: DataFrame, pop_data: DataFrame | None = N
     validate_spec(spec)
     columns = list(data.columns)
     validate_data(spec, columns)
+    if weight is not None:
+        if weight not in columns:
+            raise ValueError(f"There is no weight column '{weight}'")
+        if any(layer.kind not in ("count", "shift") for layer in spec.layers):
+            raise ValueError("A weight column is for count and shift layers only")
     source = data
     if spec.where:
         data = data.where(spec.where)
@@ -155,7 +163,7 @@ def build(spec: TableSpec | str, data: DataFrame, pop_data: DataFrame | None = N
         if lacking := [c for c in spec.cols if c not in pop.columns]:
             raise ValueError(f"Population data lacks column variable(s): {', '.join(lacking)}")
     data = add_groups(data, spec.custom_groups, spec.total_groups)
-    ctx = Context(spec, options or current_options(), source, data, pop, pop_source, columns)
+    ctx = Context(spec, options or current_options(), source, data, pop, pop_source, columns, weight=weight)
     ctx.pin()
     plans = []
     for k, layer in enumerate(spec.layers, 1):

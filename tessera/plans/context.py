@@ -18,6 +18,8 @@ from tessera.options import Options
 from tessera.spec import CustomGroup, TableSpec, TotalGroup
 
 SYNTHETIC = "__synthetic_"
+#: Combinations of column levels that a table may have.
+MOST_COLUMNS = 10_000
 
 
 def metadata_levels(df: DataFrame, var: str) -> list[str] | None:
@@ -86,23 +88,38 @@ class Context:
     combos: list[tuple[str, ...]] = field(default_factory=lambda: [()])
     header: dict[tuple[str, ...], int] = field(default_factory=dict)
     col_levels: dict[str, list[str]] = field(default_factory=dict)
+    #: A column that tells how often a row counts, or None.
+    weight: str | None = None
 
     @property
     def cols(self) -> tuple[str, ...]:
         return self.spec.cols
 
+    def tally(self, test: Column | None = None) -> Column:
+        """The number of rows (that pass a test), by weight where there is one."""
+        if self.weight is None:
+            return F.count(F.lit(1)) if test is None else F.count_if(test)
+        times = F.col(f"`{self.weight}`").cast("long")
+        return F.coalesce(F.sum(times if test is None else F.when(test, times)), F.lit(0))
+
     def levels(self, var: str) -> list[str] | None:
         """The declared levels of a variable, in order."""
         if var in self.spec.levels:
             return [str(x) for x in self.spec.levels[var]]
         return metadata_levels(self.source, var)
 
+    def _counts(self, frame: DataFrame, keys: list[Column]) -> DataFrame:
+        tally = self.tally() if self.weight in frame.columns else F.count(F.lit(1))
+        return frame.groupBy(*keys).agg(tally.alias("count")).limit(MOST_COLUMNS + 1)
+
     def pin(self) -> None:
         """The one action before the table itself: counts of the column variables' combinations."""
         if not self.cols:
             return
         keys = [F.col(f"`{c}`").cast("string").alias(c) for c in self.cols]
-        seen = {tuple(r[:-1]): r[-1] for r in self.data.groupBy(*keys).count().collect()}
+        seen = {tuple(r[:-1]): r[-1] for r in self._counts(self.data, keys).collect()}
+        if len(seen) > MOST_COLUMNS:
+            raise ValueError(f"{len(seen)} combinations of {', '.join(self.cols)} are too many for columns of a table (at most {MOST_COLUMNS})")
         named: dict[str, list[str]] = {}
         for group in self.spec.custom_groups:
             named.setdefault(group.col_var, []).extend(group.groups)
@@ -117,7 +134,7 @@ class Context:
             self.col_levels[c] = found
         self.combos = list(itertools.product(*(self.col_levels[c] for c in self.cols)))
         if self.pop is not None:
-            counted = {tuple(r[:-1]): r[-1] for r in self.pop.groupBy(*keys).count().collect()}
+            counted = {tuple(r[:-1]): r[-1] for r in self._counts(self.pop, keys).collect()}
             for k, c in enumerate(self.cols):
                 lacking = sorted({x[k] for x in seen if x[k] is not None} - {x[k] for x in counted})
                 if lacking:
@@ -130,6 +147,20 @@ class Context:
         return [" | ".join(c) + (f" (N={header[c]})" if c in header else "") for c in combos]
 
 
+def report_errors(found: DataFrame, what: str) -> DataFrame:
+    """Drop ``__error``; failures of a caller's function give one warning with how many groups and which messages."""
+    found = once(found)
+    failed = found.where(F.col("__error").isNotNull()).groupBy("__error").count().orderBy(F.desc("count"), "__error").limit(5).collect()
+    if failed:
+        lines = "; ".join(f"{r['__error']} ({r['count']} group{'s' * (r['count'] > 1)})" for r in failed)
+        warnings.warn(f"{what} failed, its cells are blank: {lines}", stacklevel=4)
+    return found.drop("__error")
+
+
+def message(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def keyed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     """Columns ``prefix1..`` with the variables as strings."""
     return df.withColumns({f"{prefix}{k}": F.col(f"`{v}`").cast("string") for k, v in enumerate(names, 1)})

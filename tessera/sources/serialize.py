@@ -1,7 +1,8 @@
 """Specifications as JSON or YAML.
 
-Formats, labels, group and test objects carry a type mark; functions are written as ``module:name`` and looked up
-on reading (or in a registry), never evaluated from text.
+Formats, labels, group and test objects carry a type mark; what equals a field's default is left out.  Functions are
+written by name, ``module:name`` or as registered.  On reading, a name is looked up in the registry, and in a
+module only below the prefixes that the caller trusts (:func:`trust`, or ``modules=``); nothing is evaluated from text.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 import importlib
 import json
 import warnings
-from collections.abc import Callable, Mapping
-from dataclasses import fields
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import MISSING, Field, fields
 from pathlib import Path
 from typing import Any
 
@@ -18,6 +19,7 @@ from tessera.functions.fmt import FStr
 from tessera.spec import AssocTest, CustomGroup, Label, Layer, LayerSettings, PopData, TableSpec, TotalGroup
 
 _registry: dict[str, Callable[..., Any]] = {}
+_trusted: set[str] = {"tessera.functions"}
 _TYPES = {c.__name__: c for c in (TableSpec, Layer, LayerSettings, PopData, TotalGroup, CustomGroup, AssocTest)}
 
 
@@ -33,8 +35,8 @@ def encode(x: Any) -> Any:
     if isinstance(x, Label):
         return {"_type": "label", "value": str(x)}
     if type(x).__name__ in _TYPES:
-        found = {f.name: encode(getattr(x, f.name)) for f in fields(x)}
-        return {"_type": type(x).__name__} | {k: v for k, v in found.items() if v not in (None, [], {})}
+        kept = [f.name for f in fields(x) if not _is_default(f, getattr(x, f.name))]
+        return {"_type": type(x).__name__} | {name: encode(getattr(x, name)) for name in kept}
     if isinstance(x, Mapping):
         return {str(k): encode(v) for k, v in x.items()}
     if isinstance(x, (list, tuple)):
@@ -45,18 +47,30 @@ def encode(x: Any) -> Any:
             name = f"{x.__module__}:{x.__qualname__}"
             if "<" in name:
                 raise ValueError("Functions of a spec must be importable, or registered with register(name, fn)")
+            _registry.setdefault(name, x)  # what this process has written, it may read
         return {"_fn": name}
     if hasattr(x, "toPandas"):
         return {"_type": "frame", "rows": [r.asDict() for r in x.collect()]}
     return x
 
 
+def _is_default(f: Field, value: Any) -> bool:
+    if f.default_factory is not MISSING:
+        return type(value) is type(f.default_factory()) and value == f.default_factory()
+    return f.default is not MISSING and (value is f.default or type(value) is type(f.default) and value == f.default)
+
+
+def trust(*prefixes: str) -> None:
+    """Let specs name functions of these modules and of modules below them."""
+    _trusted.update(prefixes)
+
+
 def _function(name: str) -> Callable[..., Any]:
     if name in _registry:
         return _registry[name]
     module, _, path = name.partition(":")
-    if not path:
-        raise ValueError(f"Function '{name}' is not registered")
+    if not path or not any(module == p or module.startswith(f"{p}.") for p in _trusted):
+        raise ValueError(f"Function '{name}' is neither registered nor of a trusted module")
     found: Any = importlib.import_module(module)
     for part in path.split("."):
         found = getattr(found, part)
@@ -100,8 +114,9 @@ def write_spec(spec: TableSpec, path: str) -> None:
     Path(path).write_text(text)
 
 
-def read_spec(path: str) -> TableSpec:
-    """Read a spec from .json, .yaml or .yml."""
+def read_spec(path: str, modules: Sequence[str] = ()) -> TableSpec:
+    """Read a spec from .json, .yaml or .yml; ``modules`` are further prefixes of modules whose functions it may name."""
+    trust(*modules)
     kind = Path(path).suffix.lower()
     if kind not in (".json", ".yaml", ".yml"):
         raise ValueError(f"Unsupported file extension: '{kind}'")

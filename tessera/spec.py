@@ -75,7 +75,10 @@ def custom_group(col_var: str, **groups: Sequence[str]) -> CustomGroup:
 
 @dataclass(frozen=True)
 class AssocTest:
-    """A test of association; omnibus (rows of a by group) or pairwise (2x2 counts of each row against a reference)."""
+    """A test of association; omnibus (rows of a by group) or pairwise (2x2 counts of each row against a reference).
+
+    ``columns`` names the columns that an omnibus test reads; no others are sent to it.
+    """
 
     fn: Callable[..., Any]
     format: FStr
@@ -84,9 +87,10 @@ class AssocTest:
     comparisons: Sequence[str] | None = None
     pairwise: bool = False
     total_row: bool = False
+    columns: Sequence[str] | None = None
 
 
-def assoc_test(fn, format=None, label=None, reference=None, comparisons=None, pairwise=None, total_row=False) -> AssocTest:
+def assoc_test(fn, format=None, label=None, reference=None, comparisons=None, pairwise=None, total_row=False, columns=None) -> AssocTest:
     if not callable(fn):
         raise TypeError("assoc_test: 'fn' must be a function")
     if format is not None and not isinstance(format, FStr):
@@ -98,7 +102,7 @@ def assoc_test(fn, format=None, label=None, reference=None, comparisons=None, pa
     if reference is not None and comparisons is not None and reference in comparisons:
         raise ValueError("assoc_test: 'reference' can't be one of 'comparisons'")
     pairwise = (reference is not None or comparisons is not None) if pairwise is None else pairwise
-    return AssocTest(fn, format or FStr("x.xxx", ("p",)), label, reference, comparisons, pairwise, total_row)
+    return AssocTest(fn, format or FStr("x.xxx", ("p",)), label, reference, comparisons, pairwise, total_row, columns)
 
 
 @dataclass(frozen=True)
