@@ -9,10 +9,12 @@ tasks it was running.  The folder of each run is removed when the driver ends, o
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,10 +117,25 @@ def text_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return df.select(F.col(f"`{key}`").cast("long").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(text))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return what earlier tasks of this worker have freed to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slice Arrow batches so that each slice has about ``limit`` bytes of ``column`` (one row at least)."""
     import numpy as np
 
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
