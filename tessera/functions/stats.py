@@ -158,12 +158,15 @@ def quantile(value: Column, p: float, kind: int = 7) -> Column:
 
 
 def fisher_exact_2x2(table) -> float:
-    """Two-sided p-value of a 2x2 table: the sum of all hypergeometric probabilities up to the observed one."""
+    """Two-sided p-value of a 2x2 table: the sum of all hypergeometric probabilities up to the observed one, from logarithms."""
     (a, b), (c, d) = ((int(x) for x in row) for row in table)
     row, column, total = a + b, a + c, a + b + c + d
 
-    def chance(k: int) -> float:
-        return math.comb(column, k) * math.comb(total - column, row - k) / math.comb(total, row)
+    def ways(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
-    own = chance(a) * (1 + 1e-7)
-    return min(1.0, sum(c for k in range(max(0, row + column - total), min(row, column) + 1) if (c := chance(k)) <= own))
+    least, most = max(0, row + column - total), min(row, column)
+    logs = {k: ways(column, k) + ways(total - column, row - k) for k in range(least, most + 1)}
+    top, own = max(logs.values()), logs[a] + 1e-7
+    part = math.fsum(math.exp(x - top) for x in logs.values() if x <= own)
+    return min(1.0, part / math.fsum(math.exp(x - top) for x in logs.values()))
