@@ -12,7 +12,7 @@ k-th exponential variates, so registers merge by maximum and are locality-sensit
 4. A bucket that still holds several components has a *main* one, the largest, and *outsiders*.  Where there are at
    most ``TILE`` outsiders they meet each other and parts of at most ``TILE`` members of the main component, so rows grow
    with the bucket.  A bucket of more outsiders is dealt again by further bands (``BRANCHES`` of them, so that two
-   sets of similarity 0.8 part everywhere with probability below 1e-4 at any depth), level by level, down to
+   sets of similarity 0.8 part everywhere with probability below 2e-4 at any depth), level by level, down to
    buckets of few outsiders.  Buckets that no band is left for are compared in full, tile by tile.
 5. In a tile, the registers' joint likelihood estimates the similarity; pairs not clearly below 0.8 are confirmed on
    the full sets, and links are closed to components.
