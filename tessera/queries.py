@@ -411,6 +411,56 @@ def analyze_layer(spark, d):
     return shown(t.build(t.table_spec("o_orderstatus", layers=[layer]), orders(spark, d)))
 
 
+# ------------------------------------------------------------------ several layers, layer and population filters, weights
+
+_DEAR = "(select * from orders where o_totalprice > 200000)"
+
+
+@query(
+    "select *, 1 as ord_layer_index from (" + wide(_COUNT.format(n_pct("n", "total")), STATUS) + ") union all "
+    "select *, 2 as ord_layer_index from (" + wide(_COUNT.format(n_pct("n", "total")).replace("from orders", f"from {_DEAR}"), STATUS) + ")"
+)
+def several_layers(spark, d):
+    layers = [t.group_count("o_orderpriority"), t.group_count("o_orderpriority", where="o_totalprice > 200000")]
+    return shown(t.build(t.table_spec("o_orderstatus", layers=layers), orders(spark, d)), "rowlabel1", "res1", "res2", "res3", "ord_layer_index")
+
+
+@query("select c_mktsegment, o_orderpriority, n, total, round(n*100.0::double/total,6) as pct from (select c_mktsegment, o_orderpriority, count(*) as n from " + SALES + " where c_acctbal > 0 group by all) join (select c_mktsegment, count(*) as total from customer where c_acctbal > 0 group by all) using (c_mktsegment)")
+def pop_where(spark, d):
+    spec = t.table_spec("arm", pop_data=t.pop_data({"arm": "c_mktsegment"}, "c_acctbal > 0"), layers=[t.group_count("o_orderpriority", where="c_acctbal > 0")])
+    pop = spark.read.parquet(f"{d}/customer.parquet")
+    return raw(t.build(spec, sales(spark, d).withColumnRenamed("c_mktsegment", "arm"), pop)).withColumnRenamed("arm", "c_mktsegment")
+
+
+_BOTH = "select {k}, {a}, case when grouping({b})=1 then '' else {b} end as {b}, {n} from x group by grouping sets (({k}, {a}), ({k}, {a}, {b}))"
+
+
+@query(
+    "with x as (select c_mktsegment, o_orderstatus, o_orderpriority, o_custkey from " + SALES + "), d as (select c_mktsegment, count(*) as total, count(distinct o_custkey) as distinct_total from x group by all), "
+    "c as (" + _BOTH.format(k="c_mktsegment", a="o_orderstatus", b="o_orderpriority", n="count(*) as n, count(distinct o_custkey) as distinct_n") + ") "
+    "select c.*, total, distinct_total, round(n*100.0::double/total,6) as pct, round(distinct_n*100.0::double/distinct_total,6) as distinct_pct from c join d using (c_mktsegment)"
+)
+def nested_distinct(spark, d):
+    return raw(t.build(count_of("c_mktsegment", ["o_orderstatus", "o_orderpriority"], distinct_by="o_custkey"), sales(spark, d)))
+
+
+@query(
+    "with x as (select c_mktsegment, r_name, n_name from " + CUSTOMER + "), c as (" + _BOTH.format(k="c_mktsegment", a="r_name", b="n_name", n="count(*) as n") + "), "
+    "arm as (select c_mktsegment, count(*) as total from x group by all), region as (select c_mktsegment, r_name, count(*) as total from x group by all) "
+    "select *, round(n*100.0::double/total,6) as pct from (select c.*, arm.total from c join arm using (c_mktsegment) where n_name = '' "
+    "union all select c.*, region.total from c join region using (c_mktsegment, r_name) where n_name <> '')"
+)
+def denoms_by_level(spark, d):
+    spec = count_of("c_mktsegment", ["r_name", "n_name"], denoms_by=[["c_mktsegment"], ["c_mktsegment", "r_name"]])
+    return raw(t.build(spec, customer(spark, d)))
+
+
+@query("select o_orderstatus, o_orderpriority, n, total, round(n*100.0::double/total, 6) as pct from (select o_orderstatus, o_orderpriority, count(*) as n from orders group by all) join (select o_orderstatus, count(*) as total from orders group by all) using (o_orderstatus)")
+def weighted_counts(spark, d):
+    counted = orders(spark, d).groupBy("o_orderstatus", "o_orderpriority", "o_custkey").agg(F.count(F.lit(1)).alias("times"))
+    return raw(t.build(count_of("o_orderstatus", "o_orderpriority"), counted, weight="times"))
+
+
 # ------------------------------------------------------------------ results, lineage, post-processing
 
 
