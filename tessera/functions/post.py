@@ -48,12 +48,12 @@ def apply_row_masks(table: DataFrame, row_breaks: bool = False) -> DataFrame:
 def collapse_row_labels(table: DataFrame, *columns: str, indent: str = "  ", target_col: str = "row_label", nest: bool = False) -> DataFrame:
     """Row labels as one column: a stub row for each new outer label, or (``nest``) indented in place."""
     if not isinstance(indent, str):
-        raise TypeError("indent must be a character string")
+        raise TypeError("indent: give the text that a level is indented by")
     names = list(columns) or _labels(table)
     if len(names) < (1 if nest else 2):
-        raise ValueError("Must have two or more columns to collapse" if not nest else "No row label columns found")
+        raise ValueError("Only one column was given, so there is nothing to collapse" if not nest else "The table has no rowlabel columns")
     if lacking := [c for c in names if c not in table.columns]:
-        raise ValueError(f"Columns missing from x: {', '.join(lacking)}")
+        raise ValueError(f"The table lacks column(s): {', '.join(lacking)}")
     rest = [c for c in table.columns if c not in names]
     if nest:
         text, depth = F.lit(""), F.lit(0)
@@ -105,14 +105,14 @@ def replace_leading_whitespace(x: Column, replace_with: str = " ") -> Column:
 def apply_conditional_format(string: Column, format_group: int, condition: str, replacement: str, full_string: bool = False) -> Column:
     """Replace a format group (or the whole text) where a condition on its number holds; the condition is SQL on ``x``."""
     if not isinstance(format_group, int) or isinstance(format_group, bool):
-        raise TypeError("Parameter `format_group` must be an integer")
+        raise TypeError("format_group: give the number of a group, as an int")
     if not isinstance(replacement, str):
-        raise TypeError("Parameter `replacement` must be a string")
+        raise TypeError("replacement: give a text")
     if not isinstance(full_string, bool):
-        raise TypeError("Parameter `full_string` must be bool")
+        raise TypeError("full_string: give True or False")
     names = set(re.findall(r"[A-Za-z_]\w*", condition)) - {"and", "or", "not", "is", "null", "between", "in", "AND", "OR", "NOT", "IS", "NULL", "BETWEEN", "IN"}
     if names != {"x"}:
-        raise ValueError("Condition must be a valid expression only using the variable name `x`")
+        raise ValueError("The condition can't be read: it is an expression of x alone")
     groups = F.regexp_extract_all(string, F.lit(r"[^\s\d]*\s*\-?\d+(?:\.\d+)?\S*"), F.lit(0))
     x = F.try_element_at(F.regexp_extract_all(string, F.lit(FORMAT_GROUP), F.lit(1)), F.lit(format_group)).cast("double")
     holds = F.coalesce(F.element_at(F.transform(F.array(x), lambda v: _condition(condition, v)), 1), F.lit(False))
@@ -135,7 +135,7 @@ def _condition(text: str, x: Column) -> Column:
     for k in range(0, len(parts), 2):
         m = re.fullmatch(r"\s*\(*\s*x\s*(<=|>=|==|=|!=|<>|<|>)\s*(-?[\d.]+)\s*\)*\s*", parts[k])
         if not m:
-            raise ValueError("Condition must compare `x` with numbers, joined by and / or")
+            raise ValueError("The condition may only compare x with numbers, joined by and / or")
         number = F.lit(float(m[2]))
         test = {"<": x < number, ">": x > number, "<=": x <= number, ">=": x >= number, "=": x == number, "==": x == number, "!=": x != number, "<>": x != number}[m[1]]
         out = test if out is None else (out & test if parts[k - 1].lower() == "and" else out | test)

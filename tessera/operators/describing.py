@@ -79,7 +79,7 @@ def collect_precision(ctx: Context, data: DataFrame, layer: Layer, target: str)
         if not {"max_int", "max_dec"} <= set(given.columns):
             raise ValueError("precision_data must contain 'max_int' and 'max_dec' columns")
         if lacking := [v for v in by if v not in given.columns]:
-            warnings.warn(f"precision_data is missing the precision_by column(s) {', '.join(lacking)}; its widths will be applied to every group", stacklevel=3)
+            warnings.warn(f"precision_data has no column {', '.join(lacking)} of precision_by, so all its groups share their widths", stacklevel=3)
         by = [v for v in by if v in given.columns]
         frame = given.select(*[F.col(f"`{v}`").cast("string").alias(f"__p_{v}") for v in by], "max_int", "max_dec")
     else:

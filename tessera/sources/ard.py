@@ -29,7 +29,7 @@ def to_ard(result: BuildResult) -> DataFrame:
         part = part.unpivot(groups, numbers, "stat_name", "stat_value").withColumn("analysis_id", F.lit(k))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
-        raise ValueError("No numeric data available; to_ard() needs a result of build()")
+        raise ValueError("to_ard() takes the result of build(); this has no statistics")
     middle = [c for c in out.columns if c not in ("analysis_id", "stat_name", "stat_value")]
     return out.select("analysis_id", *middle, "stat_name", "stat_value")
 
