@@ -389,17 +389,62 @@ query(_LIMITS.format(c="x/m", h=f"{_ZD}*sqrt(x/m*(1-x/m)/m)"))(interval("wald"))
 query(_LIMITS.format(c=f"(x/m+{_ZD}*{_ZD}/(2*m))/(1+{_ZD}*{_ZD}/m)", h=f"{_ZD}*sqrt(x/m*(1-x/m)/m+{_ZD}*{_ZD}/(4*m*m))/(1+{_ZD}*{_ZD}/m)"))(interval("wilson"))
 _P = f"((x+{_ZD}*{_ZD}/2)/(m+{_ZD}*{_ZD}))"
 query(_LIMITS.format(c=_P, h=f"{_ZD}*sqrt({_P}*(1-{_P})/(m+{_ZD}*{_ZD}))"))(interval("agresti_coull"))
-query()(interval("clopper_pearson"))
-query()(interval("jeffreys"))
+
+# A quantile of the beta distribution: trapezia of its density over 18 standard deviations with the correction for
+# slopes at the end, then a step of second order from the last place below the tail.
+_STEP = "0.002::double"
+_BETA = (
+    "with c as {cells}, ends as ({ends}), "
+    "shape as (select *, a/(a+b) as mu, sqrt(a*b/(a+b+1))/(a+b)*" + _STEP + " as h from ends), "
+    "grid as (select *, mu+h*i as y from shape, (select unnest(generate_series(-4500, 4500)) as i) where mu+h*i > 0 and mu+h*i < 1), "
+    "dense as (select *, exp((a-1)*ln(y/mu)+(b-1)*ln((1-y)/(1-mu))) as f from grid), "
+    "runs as (select *, f*((a-1)/y-(b-1)/(1-y)) as slope, sum(f) over w-f/2 as part, sum(f) over (partition by o_orderstatus, o_orderpriority, side) as whole "
+    "from dense window w as (partition by o_orderstatus, o_orderpriority, side order by i)), "
+    "below as (select *, (part-h/12*slope)/whole as cdf from runs where (part-h/12*slope)/whole <= tail), "
+    "final as (select *, (tail-cdf)*whole*h/f as d from below qualify row_number() over (partition by o_orderstatus, o_orderpriority, side order by i desc)=1) "
+    "select o_orderstatus, o_orderpriority, round(max(case when side='low' then y+d-slope/(2*f)*d*d end)*100,6) as ci_lower, "
+    "round(max(case when side='high' then y+d-slope/(2*f)*d*d end)*100,6) as ci_upper from final group by all"
+)
+
+
+def _beta(low: tuple[str, str], high: tuple[str, str]) -> str:
+    """Limits by beta quantiles, for cells that are neither empty nor full."""
+    end = "select *, '{}' as side, {}::double as tail, {}::double as a, {}::double as b from c"
+    return _BETA.format(cells=_CELLS, ends=end.format("low", 0.025, *low) + " union all " + end.format("high", 0.975, *high))
+
+
+query(_beta(("x", "m-x+1"), ("x+1", "m-x")))(interval("clopper_pearson"))
+query(_beta(("x+0.5", "m-x+0.5"), ("x+0.5", "m-x+0.5")))(interval("jeffreys"))
+
+# Fisher's test: the probabilities of all tables of the same margins that are no likelier than the one observed.
+_FISHER = (
+    "with c as (select o_orderpriority, o_orderstatus, count(distinct o_custkey) as n from orders group by all), "
+    "total as (select o_orderstatus, count(distinct o_custkey) as m from orders group by all), "
+    "pairs as (select r.o_orderpriority, k.o_orderstatus as arm, r.n as a, k.n as b, rt.m as ma, kt.m as mb from c r join c k using (o_orderpriority) "
+    "join total rt on rt.o_orderstatus='F' join total kt on kt.o_orderstatus=k.o_orderstatus where r.o_orderstatus='F' and k.o_orderstatus<>'F'), "
+    "tables as (select *, unnest(generate_series(greatest(0, a+b-mb), least(a+b, ma))) as i from pairs), "
+    "chances as (select *, {ways} as p, {own} as own from tables), "
+    "tests as (select o_orderpriority, arm, least(1, sum(exp(p-own)) filter (where p-own <= 1e-7)/sum(exp(p-own))) as v from chances group by all) "
+)
+_WAYS = "-(lgamma({i}+1)+lgamma(ma-{i}+1)+lgamma(a+b-{i}+1)+lgamma(mb-(a+b-{i})+1))"
 
 
-@query()
+@query(
+    _FISHER.format(ways=_WAYS.format(i="i"), own=_WAYS.format(i="a"))
+    + "select o_orderpriority as rowlabel1, "
+    + ", ".join(f"max(case when arm='{x}' then {num('v', 5, 3)} end) as pval{k}" for k, x in enumerate("OP", 1))
+    + " from tests group by all"
+)
 def assoc_pairwise(spark, d):
     test = t.assoc_test(t.fisher_exact_2x2, reference="F")
     return shown(t.build(count_of("o_orderstatus", "o_orderpriority", assoc_test=test, distinct_by="o_custkey"), orders(spark, d)), "rowlabel1", "pval1", "pval2")
 
 
-@query()
+@query(
+    "select o_orderpriority as rowlabel1, case when row_number() over (order by o_orderpriority)=1 then "
+    + num("(select avg(o_totalprice) from orders)", 8, 1)
+    + " else '' end as pval1 from (select distinct o_orderpriority from orders)"
+)
 def assoc_omnibus(spark, d):
     test = t.assoc_test(lambda rows: float(rows["o_totalprice"].mean()), format=t.f_str("xxxxxx.x", "v"))
     return shown(t.build(count_of("o_orderstatus", "o_orderpriority", assoc_test=test), orders(spark, d)), "rowlabel1", "pval1")
@@ -507,6 +552,13 @@ def conditional_format(spark, d):
     return table.select("rowlabel1", F.when(few == "few", "few").otherwise("many").alias("size"))
 
 
-@query()
+# Words of more than seven characters part with a hyphen after every seventh; then words join lines of seven at most.
+_PARTS = r"regexp_replace(regexp_replace(trim(p_name), '(\w{7})', '\1- ', 'g'), '(\w{7})- (\W|$)', '\1\2', 'g')"
+
+
+@query(
+    f"select p_partkey, list_reduce(string_split_regex({_PARTS}, '\\s+'), lambda line, word: line || case when length(regexp_extract(line, '[^\n]*$')) + 1 + length(word) <= 7 "
+    "then ' ' else chr(10) end || word) as p_name from part"
+)
 def indent_wrap(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", str_indent_wrap(F.col("p_name"), 8).alias("p_name"))
