@@ -14,7 +14,7 @@ from tessera.functions.post import (
 from tessera.functions.stats import fisher_exact_2x2, proportion_ci, proportion_ci_values
 from tessera.options import Options, current_options, set_options
 from tessera.plans.build import BuildResult, build, generate_row_ids, header_n, numeric_data, stats_data
-from tessera.plans.lineage import AntiJoin, Meta, meta_result, meta_subset
+from tessera.plans.lineage import AntiJoin, Meta, cell_metadata, meta_result, meta_subset
 from tessera.sources.ard import from_ard, to_ard
 from tessera.sources.serialize import read_spec, register, trust, write_spec
 from tessera.spec import (

@@ -190,6 +190,8 @@ def build(spec: TableSpec | str, data: DataFrame, pop_data: DataFrame | None = N
     if metadata:
         table = table.withColumn("row_id", F.concat_ws("_", F.col("ord_layer_index").cast("string"), *[F.trim(f"rowlabel{j}") for j in range(1, n_labels + 1)]))
         keys = _row_keys(plans, n_labels)
+        if bare := [str(k) for k, p in enumerate(plans, 1) if p.layer.kind == "desc" and p.layer.settings.stats_as_columns and not p.long.by_vars]:
+            warnings.warn(f"Cells of layer(s) {', '.join(bare)} have no metadata: their columns are statistics; a by variable would change that", stacklevel=2)
     table = table.select(*[F.col(f"`{c}`").alias(c, metadata={"label": labels[c]}) if c in labels else F.col(f"`{c}`") for c in table.columns]).orderBy(*orders)
     header = sorted(ctx.header.items(), key=lambda kv: ctx.combos.index(kv[0])) if pop_data is not None else None
     numeric = {k: p.long.numeric for k, p in enumerate(plans, 1)}

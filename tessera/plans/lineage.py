@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessera.operators.counting import MISSING, SUBJECTS, TOTAL
@@ -71,11 +72,35 @@ def column_filters(result: BuildResult, combo: tuple[str, ...]) -> list[str]:
 
 def meta_result(result: BuildResult, row_id: str, column: str) -> Meta | None:
     """What a cell is made of; None where there is no such cell."""
+    row = _keys(result).where(F.col("row_id") == row_id).first()
+    return None if row is None else _cell(result, row, column)
+
+
+def cell_metadata(result: BuildResult) -> dict[tuple[str, str], Meta]:
+    """What every cell is made of, by row id and column, from one read of the table's row keys (a table is for readers).
+
+    Rows of missing subjects are left out, with a warning, where no ``distinct_by`` names a subject.
+    """
+    out: dict[tuple[str, str], Meta] = {}
+    unkeyed = False
+    for row in _keys(result).collect():
+        plan = result.layers[row["layer"] - 1]
+        unkeyed |= plan.layer.kind == "count" and row["kind"] == SUBJECTS and not plan.layer.settings.distinct_by
+        for column, _ in plan.columns:
+            if (meta := _cell(result, row, column)) is not None:
+                out[row["row_id"], column] = meta
+    if unkeyed:
+        warnings.warn("Rows of missing subjects have no metadata: distinct_by names no subject to look for", stacklevel=2)
+    return out
+
+
+def _keys(result: BuildResult) -> DataFrame:
     if result.keys is None:
         raise ValueError("The table was built without metadata; use build(..., metadata=True)")
-    row = result.keys.where(F.col("row_id") == row_id).first()
-    if row is None:
-        return None
+    return result.keys
+
+
+def _cell(result: BuildResult, row: Row, column: str) -> Meta | None:
     plan = result.layers[row["layer"] - 1]
     layer, ctx, spec = plan.layer, result.context, result.context.spec
     names = [n for n, _ in plan.columns]
@@ -107,10 +132,13 @@ def meta_result(result: BuildResult, row_id: str, column: str) -> Meta | None:
         elif kind != SUBJECTS and not (layer.kind == "shift" and row["depth"] == 0):
             variables_of_row = layer.target[: row["depth"]] if layer.kind == "count" else layer.target[:1]
             own += [equals(v, x) for v, x in zip(variables_of_row, row["target"], strict=False)]
-    variables += [*plan.long.by_vars, *layer.target]
+    own_targets = [row["variable"]] if layer.kind == "desc" and row["variable"] else layer.target
+    variables += [*plan.long.by_vars, *own_targets]
     if layer.kind == "count" and kind == SUBJECTS:
-        on = (layer.settings.distinct_by,) if layer.settings.distinct_by else tuple(spec.cols)
-        return Meta(tuple(variables), tuple(columns), row["layer"], AntiJoin(tuple(x for x in on if x), tuple([*filters, *columns, *by])), statistic, KINDS[kind])
+        if not layer.settings.distinct_by:
+            return None
+        of_population = [equals(v, x) for v, x in zip(plan.long.by_vars, row["by"], strict=False) if v in ctx.pop_source.columns]
+        return Meta(tuple(variables), tuple([*columns, *of_population]), row["layer"], AntiJoin((layer.settings.distinct_by,), tuple([*filters, *columns, *by])), statistic, KINDS[kind])
     return Meta(tuple(dict.fromkeys(variables)), tuple([*filters, *columns, *by, *own]), row["layer"], None, statistic, KINDS.get(kind, "normal"))
 
 
