@@ -19,7 +19,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode(save(media.encode(table(spark, sf_dir, "documents")), "media"))
+    files = save(media.encode(table(spark, sf_dir, "documents")), "media", options=media.LAYOUT)
+    return media.read_pcm(save(media.decode(files), "pcm", options=media.LAYOUT))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

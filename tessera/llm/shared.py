@@ -62,11 +62,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+def save(df: DataFrame, name: str, partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.  options: the writer's."""
     spark = settle(df.sparkSession)
     path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**options or {})
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
